@@ -14,7 +14,6 @@ them and lets more lines through as suspects; the exact count still decides.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
-
-_U = np.uint64
-PIECE = 1 << 16
+from . import bloom, spans
 
 
 def _line_keys(data: np.ndarray, at: np.ndarray):
@@ -36,23 +32,6 @@ def _line_keys(data: np.ndarray, at: np.ndarray):
     return starts, ends, low, high, spans.word_hashes(data, low, high), first
 
 
-def _bits_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = _U(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> _U(32)) & mask).astype(np.int64)
-
-
-def _has(words: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for at in _bits_of(h, bits):
-        out &= (words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-    return out
-
-
-def _put(words: np.ndarray, h: np.ndarray, bits: int) -> None:
-    for at in _bits_of(h, bits):
-        np.bitwise_or.at(words, at >> 3, (1 << (at & 7)).astype(np.uint8))
-
-
 def _distinct_in_texts(h: np.ndarray, full: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The hashes of non-empty lines, one for each text that holds it."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[full]
@@ -64,43 +43,10 @@ def _distinct_in_texts(h: np.ndarray, full: np.ndarray, first: np.ndarray) -> np
     return h[new]
 
 
-def _build(bits: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
-        any_rows = False
-        for batch in batches:
-            for _, _, data, at in spans.chunked(batch.column(1)):
-                any_rows = True
-                _, _, low, high, h, first = _line_keys(data, at)
-                values, counts = np.unique(_distinct_in_texts(h, high > low, first), return_counts=True)
-                again = (counts > 1) | _has(once, values, bits)
-                _put(twice, values[again], bits)
-                _put(once, values, bits)
-        if any_rows:
-            for k in range(0, len(once), PIECE):
-                a, b = once[k : k + PIECE], twice[k : k + PIECE]
-                if a.any():
-                    yield pa.RecordBatch.from_pydict(
-                        {"piece": pa.array([k], pa.int64()), "once": pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()), "twice": pa.array([zlib.compress(b.tobytes(), 1)], pa.binary())}
-                    )
-
-    return task
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams over the pieces of all tasks; holds two arrays for each piece of the filter dealt to this task."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if k in held:
-                once, twice = held[k]
-                held[k] = [once | a, twice | b | (once & a)]
-            else:
-                held[k] = [a, b]
-    for k, (_, twice) in held.items():
-        if twice.any():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
+def _line_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, _, data, at in spans.chunked(batch.column(1)):
+        _, _, low, high, h, first = _line_keys(data, at)
+        yield _distinct_in_texts(h, high > low, first)
 
 
 def _digest(data: np.ndarray, low: int, high: int) -> bytes:
@@ -109,13 +55,11 @@ def _digest(data: np.ndarray, low: int, high: int) -> bytes:
 
 def _suspects(pieces, bits: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.zeros(bits >> 3, np.uint8)
-        for k, piece in pieces.value:
-            twice[k : k + PIECE] = np.frombuffer(zlib.decompress(piece), np.uint8)
+        twice = bloom.load(pieces, bits)
         for batch in batches:
             for low_row, _, data, at in spans.chunked(batch.column(1)):
                 _, _, low, high, h, first = _line_keys(data, at)
-                hits = np.flatnonzero((high > low) & _has(twice, h, bits))
+                hits = np.flatnonzero((high > low) & bloom.has(twice, h, bits))
                 if not len(hits):
                     continue
                 text = np.searchsorted(first, hits, "right") - 1
@@ -165,15 +109,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is never dropped. Rows that repeat an id count as one document and lose the same keys; rows with a null id
     count as one document together. An empty table gives an empty table.
     """
-    if keep not in ("none", "first") or bits & (bits - 1) or bits < PIECE * 8:
-        raise ValueError("keep: none or first; bits: a power of two, 524288 at least")
-    spark = docs.sparkSession
+    if keep not in ("none", "first"):
+        raise ValueError("keep: none or first")
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    built = docs.mapInArrow(_build(bits), "piece long, once binary, twice binary")
-    merged = built.repartition(max(1, min(bits >> 19, int(spark.conf.get("spark.sql.shuffle.partitions")))), "piece").mapInArrow(_merge, "piece long, twice binary")
-    # at most bits / 8 bytes, as the filter has a fixed size
-    pieces = spark.sparkContext.broadcast([(r.piece, bytes(r.twice)) for r in merged.collect()])
+    pieces = bloom.twice_seen(docs, _line_hashes, bits)
     suspects = docs.mapInArrow(_suspects(pieces, bits), f"id {kind}, key binary, line long")
     in_docs = suspects.groupBy("key", "id").agg(F.min("line").alias("line"))
     least = F.min(F.struct("id", "line")).alias("least") if keep == "first" else F.lit(None).cast(f"struct<id:{kind},line:bigint>").alias("least")
