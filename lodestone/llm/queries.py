@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join
+from . import decontaminate, language_crf, line_dedup, ngram_join, quality_crf
 from .workspace import table
 
 # Character sets of the contracts, as DuckDB strings.
@@ -79,5 +79,14 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_benchmark_decontamination, op9_ngram_jaccard_join)}
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify_language(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_ngram_jaccard_join)}
 ORACLES = {"op3_line_dedup": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
