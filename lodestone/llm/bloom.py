@@ -36,7 +36,7 @@ def put(words: np.ndarray, h: np.ndarray, bits: int) -> None:
 
 def _build(values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
+        once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)  # zero pages cost memory once touched
         for batch in batches:
             for values in values_of(batch):
                 distinct, counts = np.unique(values, return_counts=True)
@@ -76,6 +76,28 @@ def twice_seen(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.
     return spark.sparkContext.broadcast([(r.piece, bytes(r.twice)) for r in merged.collect()])  # bits / 8 bytes at most
 
 
+def _build_once(values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            for values in values_of(batch):
+                put(once, values, bits)
+        for k in range(0, len(once), PIECE):
+            if once[k : k + PIECE].any():
+                packed = pa.array([zlib.compress(once[k : k + PIECE].tobytes(), 1)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "once": packed, "twice": packed})
+
+    return task
+
+
+def seen(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int):
+    """Broadcast pieces of the filter of all values that values_of() gives."""
+    spark = df.sparkSession
+    parts = max(1, min(bits >> 19, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    merged = df.mapInArrow(_build_once(values_of, bits), "piece long, once binary, twice binary").repartition(parts, "piece").mapInArrow(_merge, "piece long, twice binary")
+    return spark.sparkContext.broadcast([(r.piece, bytes(r.twice)) for r in merged.collect()])  # bits / 8 bytes at most
+
+
 def load(pieces, bits: int) -> np.ndarray:
     words = np.zeros(bits >> 3, np.uint8)
     for k, piece in pieces.value:

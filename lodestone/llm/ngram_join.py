@@ -11,7 +11,8 @@
 3. Candidates are verified on the whole texts. In round one each holder of an index shingle meets that shingle's
    centre only, so a group of thousands of near copies costs a few pairs a document. In round two all remaining
    pairs that share an index shingle and lie in different components so far are verified, so no link is lost;
-   pairs already connected need no verification. Components come from star contraction.
+   pairs already connected need no verification, and a document whose shingles are too seldom anyone else's can reach
+   no partner. Components come from star contraction.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -31,7 +32,8 @@ from .components import connected_components
 
 _U = np.uint64
 COUNTER_BITS = 23
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 28
+ID_FILTER_BITS = 1 << 26
 SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 SPARE = 10  # the second order's prefix is longer by one shingle in so many
 
@@ -157,9 +159,10 @@ def _lists(text: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
 
 def _index(classes, twice, width: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(zlib.decompress(classes.value), np.uint8)
-        words = bloom.load(twice, FILTER_BITS)
+        table = words = None
         for batch in batches:
+            if words is None:
+                table, words = np.frombuffer(zlib.decompress(classes.value), np.uint8), bloom.load(twice, FILTER_BITS)
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
                 lists = []
@@ -187,6 +190,26 @@ def _of_signature(width: int):
     return task
 
 
+def _set_values(width: int):
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, at in spans.chunked(batch.column(1)):
+            yield shingle_sets(data, at, width)[0]
+
+    return values
+
+
+def _common(twice, width: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for batch in batches:
+            words = bloom.load(twice, FILTER_BITS) if words is None else words
+            for low, high, data, at in spans.chunked(batch.column(1)):
+                h, first = shingle_sets(data, at, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spans.per_text(bloom.has(words, h, FILTER_BITS), first))], names=["id", "s"])
+
+    return task
+
+
 def _verify(width: int, percent: int):
     def sets(column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -233,39 +256,68 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     keys = reps.withColumnRenamed("rep", "id")
     held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "p1", "p2"), "prefixes")
 
-    entries = held.select("id", "n", F.explode("p1").alias("token"))
-    # round one: the centre of a shingle is its holder of least priority, under one of two priorities
-    priority = F.xxhash64("id", F.pmod("token", F.lit(2)))
-    centres = entries.groupBy("token").agg(F.min(F.struct(priority.alias("by"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"))
+    # the share of a document's prefixes that other documents may have: highest for the source of a group of edited copies
+    entries = held.select("id", "n", ((F.size("p1") + F.size("p2")) / F.col("n")).alias("share"), F.explode("p1").alias("token"))
+    # round one: each shingle's centre is its holder of the highest share
+    rank = F.struct((-F.round("share", 3)).cast("float").alias("by"), "id", F.col("n").cast("int").alias("n"))
+    centres = entries.groupBy("token").agg(F.min(rank).alias("c"), F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1").select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"))
+    shared = workspace.materialise(entries.select("token", "id", F.col("n").cast("int").alias("n")).join(centres, "token"), "index")
     near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-    stars = entries.join(centres, "token").where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    first = _checked(stars, held, docs, width, percent)
-    groups = connected_components(first.where("linked"), "a", "b")
+    stars = shared.where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    texts = _texts(docs, held, shared.select("id").distinct(), width)
+    first = _checked(stars, held, texts, width, percent)
+    groups = workspace.materialise(connected_components(first.where("linked"), "a", "b"), "groups")
     # round two: pairs of holders that are still in different components
-    placed = entries.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
+    placed = shared.select("id", "n", "token").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left = placed.join(open_tokens, "token", "left_semi")
-    right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near).select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _checked(rest, held, docs, width, percent)
+    left = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
+    # s: how many of a document's shingles any other open document may have; no pair shares more than the smaller s
+    some = texts.join(left.select("id").distinct(), "id", "left_semi")
+    again = bloom.twice_seen(some, _set_values(width), FILTER_BITS)
+    common = some.mapInArrow(_common(again, width), f"id {kind}, s long")
+    left = left.join(common, "id").select("token", "id", "n", "component", "s")
+    right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
+    reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
+    rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable).select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = _checked(rest, held, texts, width, percent)
     if second.where("linked").limit(1).count():
         groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
+    workspace.drop(texts)
     whole = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     placed_ids = whole.unionAll(groups.select(F.col("node").alias("id"), "component")).withColumnRenamed("id", "own")
     return rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _checked(pairs: DataFrame, held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield spans.mix(batch.column(0).to_numpy().view(_U))
+
+
+def _maybe_wanted(pieces):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for batch in batches:
+            words = bloom.load(pieces, ID_FILTER_BITS) if words is None else words
+            yield batch.filter(pa.array(bloom.has(words, spans.mix(batch.column(2).to_numpy().view(_U)), ID_FILTER_BITS))).select([0, 1])
+
+    return task
+
+
+def _texts(docs: DataFrame, held: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The texts of the given representatives. A Bloom filter of their ids keeps most other texts out of the shuffle."""
+    kind = held.schema["id"].dataType.simpleString()
+    wanted = workspace.materialise(held.select("id", "s1", "s2").join(ids, "id", "left_semi"), "wanted")
+    pieces = bloom.seen(wanted.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
+    likely = docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_maybe_wanted(pieces), f"id {kind}, text string")
+    texts = likely.join(wanted, "id").select("id", "text", "s1", "s2").mapInArrow(_of_signature(width), f"id {kind}, text string")
+    return workspace.materialise(texts, "texts")
+
+
+def _checked(pairs: DataFrame, held: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidates that also share enough of the second order's prefixes, with the verdict of a full comparison."""
     kind = held.schema["id"].dataType.simpleString()
     side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p2").alias(f"p{x}"))
     sharing = F.size(F.array_intersect("pa", "pb")) > F.floor(F.least("na", "nb") / SPARE)
-    passed = workspace.materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b"), "candidates")
-    wanted = passed.select(F.col("a").alias("id")).unionAll(passed.select("b")).distinct().join(held.select("id", "s1", "s2"), "id")
-    texts = workspace.materialise(docs.join(wanted, "id").select("id", "text", "s1", "s2").mapInArrow(_of_signature(width), f"id {kind}, text string"), "texts")
+    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b")
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     checked = passed.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), f"a {kind}, b {kind}, linked boolean")
-    checked = workspace.materialise(checked, "pairs")
-    workspace.drop(passed)
-    workspace.drop(texts)
-    return checked
+    return workspace.materialise(checked, "pairs")
