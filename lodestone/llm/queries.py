@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_crf, line_dedup, ngram_join, quality_crf
-from .workspace import table
+from . import decontaminate, language_crf, line_dedup, mixing, ngram_join, quality_crf, quality_rules, span_dedup, toxicity_kernel, training_order
+from .workspace import new_path, table
 
 # Character sets of the contracts, as DuckDB strings.
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -88,5 +88,63 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_quality_classifier, op6_benchmark_decontamination, op8_language_id, op9_ngram_jaccard_join)}
-ORACLES = {"op3_line_dedup": OP3_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.write_training_order(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+
+
+def op2_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = span_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", "repeats_of", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("text")
+
+
+_FAILS = rf"""(length(l) - length(translate(l, '{quality_rules.BARS}', '')) > {quality_rules.MAX_BARS}
+  OR len(regexp_extract_all(l, '{quality_rules.SHOUT}')) > {quality_rules.MAX_SHOUTS}
+  OR regexp_matches(lower(l), '{quality_rules.BOILERPLATE}')
+  OR length(l) >= {quality_rules.MIN_LINE_CHARS_UNENDED} AND NOT regexp_matches(l, '{quality_rules.ENDING.replace("'", "''")}'))"""
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+again AS (SELECT doc_id, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM windows JOIN again USING (doc_id, g)) GROUP BY doc_id),
+lines AS (SELECT doc_id, l, {_FAILS} AS fails FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE translate(l, {SPACES}, '') <> ''),
+by_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE fails) AS n_lines_removed, sum(length(l)) AS chars, coalesce(sum(length(l)) FILTER (WHERE NOT fails), 0) AS good
+  FROM lines GROUP BY doc_id
+),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(translate(t, {SPACES}, '')) AS word_chars, length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')) AS n_symbols,
+         coalesce(n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed
+  FROM w LEFT JOIN repeated USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * coalesce(good, 0) >= {quality_rules.KEEP_PERCENT} * coalesce(chars, 0) AS kept, coalesce(n_lines_removed, 0) AS n_lines_removed
+FROM base LEFT JOIN by_line USING (doc_id)
+"""
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_kernel.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: What the mix should hold of each language's tokens.
+MIX = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return mixing.mixing_rates(docs, labelled, MIX)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_output, op2_span_dedup, op3_line_dedup, op4_quality_classifier, op5_quality_rules, op6_benchmark_decontamination, op7_toxicity, op8_language_id, op9_ngram_jaccard_join, op10_source_mixing,
+    )
+}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_ngram_jaccard_join": OP9_SQL}
