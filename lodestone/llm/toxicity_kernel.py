@@ -1,10 +1,10 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 A token is what is left of a word when all but its letters are dropped; three or more single letters in a row are one token.
-Two tokens compare by their common subsequences of three letters, each weighted by decay ^ (gaps it spans), over
-a norm of each token, to the power POWER. So an insult with inserted characters or gaps still resembles the plain one.
-A sentence's kernel is the sum over its tokens. Landmarks are tokens: those that mark toxic documents most, and frequent
-neutral ones; Nyström features (kernel values against the landmarks, whitened) feed a linear support vector machine over labelled
+Two tokens compare by their common subsequences of three symbols (letters, and a mark before the first), each weighted by
+decay ^ (gaps it spans), over a bounded norm of each token, to the power POWER. So an insult with inserted characters or gaps still resembles the plain one.
+A sentence's kernel is the sum over its distinct tokens. Landmarks are tokens or their stems: those that mark toxic documents most,
+and frequent neutral ones; Nyström features (kernel values against the landmarks, whitened) feed a linear support vector machine over labelled
 sentences. As its score is a sum over tokens, each distinct token of a block is scored once. A document's score
 is its worst sentence's, mapped to a probability by a logistic fit.
 """
@@ -21,21 +21,24 @@ from pyspark.sql import functions as F
 from . import samples, spans
 from .language_crf import fold
 
-PER_CLASS = 1500
+PER_CLASS = 2500
 MAX_CHARS = 30_000
-DECAY = 0.75
-MAX_SPAN = 7
-POWER = 3
-POSITIVE, NEUTRAL = 24, 16
-SYMBOLS = 27
+DECAY = 0.85
+MAX_SPAN = 5
+POWER = 6
+POSITIVE, NEUTRAL = 36, 12
+STEMS = (4, 5, 6)
+SYMBOLS = 35
+MARK = 34
+MOST_NORM = 2.5
 CHUNK = 4 << 20
 _U = np.uint64
 GAPS = [(a, b) for a in range(1, MAX_SPAN) for b in range(1, MAX_SPAN - a + 1)]
 
-#: Letter numbers 0-25 for a-z, 26 for bytes of non-ASCII code points, -1 for what is dropped.
+#: 0-25 for a-z, 26-33 for the later bytes of non-ASCII code points by their low bits, -1 for what is dropped.
 CODE = np.full(256, -1, np.int64)
 CODE[0x61:0x7B] = np.arange(26)
-CODE[0x80:] = 26
+CODE[0x80:0xC0] = 26 + np.arange(0x80, 0xC0) % 8
 STOP = np.zeros(256, bool)
 STOP[[0x21, 0x2E, 0x3F]] = True
 
@@ -67,8 +70,9 @@ class Tokens:
         heads = np.flatnonzero(~joined & (size > 0))
         self.text, self.sentence = text[heads], sentence[heads]
         inside = np.flatnonzero(letter & spans.NON_SPACE[folded])
-        self.codes = codes[inside]
-        self.offset = np.append(np.searchsorted(inside, starts[heads]), len(inside)) if len(heads) else np.zeros(1, np.int64)
+        plain = np.searchsorted(inside, starts[heads])
+        self.codes = np.insert(codes[inside], plain, MARK)
+        self.offset = np.append(plain + np.arange(len(plain)), len(self.codes))
         self.hashes = spans.hash_spans(spans.mix(self.codes.astype(_U) + _U(1)), self.offset[:-1], self.offset[1:])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +80,12 @@ class Tokens:
         _, first, kind = np.unique(self.hashes, return_index=True, return_inverse=True)
         return first, kind
 
+    def once(self, kind: np.ndarray) -> np.ndarray:
+        """Places of the first token of its kind in each sentence."""
+        order = np.lexsort((kind, self.sentence))
+        k, s = kind[order], self.sentence[order]
+        return order[np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))]
+
     def select(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and offsets of some tokens."""
         size = self.offset[which + 1] - self.offset[which]
@@ -97,12 +107,17 @@ def _triples(codes: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _norms(codes: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Root of the summed squared weights: a fixed positive function of the token, so the kernel stays positive definite."""
+    """Root of the summed squared weights, up to a bound: a fixed positive function of the token, so the kernel stays positive definite."""
     total = np.zeros(len(codes))
     for at, _, w in _triples(codes, offset):
         total[at] += w * w
     sums = np.concatenate(([0], np.cumsum(total)))
-    return np.sqrt(np.maximum(sums[offset[1:]] - sums[offset[:-1]], 1.0))
+    return np.minimum(np.sqrt(np.maximum(sums[offset[1:]] - sums[offset[:-1]], 1.0)), MOST_NORM)
+
+
+def _weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(t, np.full(len(t), w)) for _, t, w in _triples(codes, np.array([0, len(codes)]))]
+    return np.concatenate([t for t, _ in parts]), np.concatenate([w for _, w in parts])
 
 
 class Kernel:
@@ -114,7 +129,11 @@ class Kernel:
         owner = np.repeat(np.arange(n), np.diff(offset))
         for at, triple, w in _triples(codes, offset):
             np.add.at(self.table, (triple, owner[at]), w)
-        self.table /= _norms(codes, offset)[None, :].astype(np.float32)
+        norms = _norms(codes, offset)
+        self.table /= norms[None, :].astype(np.float32)
+        own = np.array([(self.table[t, k] * w).sum() for k in range(n) for t, w in [_weighted(codes[offset[k] : offset[k + 1]])]])
+        #: no token resembles a landmark more than the landmark itself does, however often it repeats its letters
+        self.most = (own / norms).astype(np.float32)
 
     def values(self, codes: np.ndarray, offset: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offset) - 1, self.table.shape[1]), np.float32)
@@ -127,7 +146,7 @@ class Kernel:
                 sums[at] += self.table[triple] * np.float32(w)
             part = np.add.reduceat(sums, o[:-1], axis=0) if len(c) else 0
             out[low : low + 4096] = part / _norms(c, o)[:, None]
-        return np.minimum(out, 1.5) ** POWER
+        return np.minimum(out, self.most) ** POWER
 
 
 class ToxicityModel:
@@ -141,23 +160,74 @@ class ToxicityModel:
             return worst
         first, kind = tokens.distinct()
         value = self.kernel.values(*tokens.select(first)) @ self.alpha
-        heads = np.flatnonzero(np.concatenate(([True], np.diff(tokens.sentence) != 0)))
-        sums = np.add.reduceat(value[kind], heads) + self.bias
-        np.maximum.at(worst, tokens.text[heads], sums)
+        at = tokens.once(kind)
+        sentence = tokens.sentence[at]
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(sentence) != 0)))
+        sums = np.add.reduceat(value[kind[at]], heads) + self.bias
+        np.maximum.at(worst, tokens.text[at][heads], sums)
         return worst
 
     def score(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.link[0] * margins + self.link[1], -30, 30)))
+        """Beyond the hinge's margins of -1 and 1 a sentence is no surer; a small slope keeps the order of the rest."""
+        seen = _seen(margins)
+        return 1 / (1 + np.exp(-np.clip(self.link[0] * seen + self.link[1], -30, 30)))
+
+
+def _stems(tokens: Tokens, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct stems (the mark and the first letters, or a whole token of up to 12 letters), and the stems of each kind of token; len(stems) for none."""
+    size = tokens.offset[first + 1] - tokens.offset[first] - 1
+    found: dict[bytes, int] = {}
+    stems: list[np.ndarray] = []
+    rows = np.full((len(first), len(STEMS) + 1), -1, np.int64)
+    for k, (i, n) in enumerate(zip(first.tolist(), size.tolist(), strict=True)):
+        low = tokens.offset[i]
+        for j, m in enumerate((*STEMS, n if STEMS[-1] < n <= 12 else 0)):
+            if 0 < m <= n:
+                code = tokens.codes[low : low + m + 1]
+                key = code.astype(np.uint8).tobytes()
+                if key not in found:
+                    found[key] = len(stems)
+                    stems.append(code)
+                rows[k, j] = found[key]
+    rows[rows < 0] = len(stems)
+    return stems, rows
+
+
+def _marking(text: np.ndarray, stem: np.ndarray, labels: np.ndarray, stems: list[np.ndarray]) -> list[int]:
+    """Stems that mark toxic texts, greedily: a text that a chosen stem covers counts for less afterwards."""
+    n = len(stems)
+    toxic = labels[text] == 1
+    in_clean = np.bincount(stem[~toxic], minlength=n)
+    t_text, t_stem = text[toxic], stem[toxic]
+    seldom = np.bincount(t_stem, minlength=n)
+    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
+    weight, out = np.ones(len(labels)), []
+    barred = (seldom < 4) | (seldom / n1 < 8 * in_clean / n0)
+    for _ in range(POSITIVE):
+        rate1, rate0 = np.bincount(t_stem, weight[t_text], n) / n1, (in_clean + 0.5) / n0
+        z = (rate1 - rate0) / np.sqrt((rate1 + rate0) / 2 * (1 / n1 + 1 / n0))
+        z[barred] = 0
+        best = int(z.argmax())
+        if z[best] < 2.5:
+            break
+        out.append(best)
+        own = stems[best].tolist()
+        for k in np.flatnonzero(~barred).tolist():  # stems of the same word say the same
+            other = stems[k].tolist()
+            if other[: len(own)] == own or own[: len(other)] == other:
+                barred[k] = True
+        weight[np.unique(t_text[t_stem == best])] *= 0.6
+    return out
 
 
 def _distort(word: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     """The token with a letter put in, and with a letter missing: what the classifier has to tolerate."""
     out = []
     for _ in range(2):
-        at = int(rng.integers(1, len(word)))
+        at = int(rng.integers(2, len(word)))
         out.append(np.concatenate((word[:at], rng.integers(0, 26, 1), word[at:])))
-    if len(word) > 4:
-        at = int(rng.integers(1, len(word) - 1))
+    if len(word) > 6:
+        at = int(rng.integers(2, len(word) - 1))
         out.append(np.concatenate((word[:at], word[at + 1 :])))
     return out
 
@@ -172,50 +242,48 @@ def fit(examples: list[tuple[str, int]]) -> ToxicityModel:
     data, at = spans.text_buffers(pa.array([t for t, _ in examples], pa.string()))
     tokens = Tokens(data, at)
     first, kind = tokens.distinct()
-    pairs = np.unique(tokens.text * np.int64(len(first) + 1) + kind)
-    toxic = labels[pairs // (len(first) + 1)] == 1
-    in_toxic = np.bincount(pairs[toxic] % (len(first) + 1), minlength=len(first))
-    in_clean = np.bincount(pairs[~toxic] % (len(first) + 1), minlength=len(first))
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    length = tokens.offset[first + 1] - tokens.offset[first]
-    rate1, rate0 = in_toxic / n1, in_clean / n0
-    z = (rate1 - rate0) / np.sqrt((rate1 + rate0) / 2 * (1 / n1 + 1 / n0) + 1e-9)
-    z[(length < 4) | (in_toxic < 3) | (rate1 < 4 * rate0)] = 0
-    positive = np.argsort(-z, kind="stable")[:POSITIVE]
-    positive = positive[z[positive] > 3]
+    stems, stem_of = _stems(tokens, first)
+    pairs = np.unique(np.repeat(tokens.text, stem_of.shape[1]) * np.int64(len(stems) + 1) + stem_of[kind].ravel())
+    of_text, of_stem = pairs // (len(stems) + 1), pairs % (len(stems) + 1)
+    of_text, of_stem = of_text[of_stem < len(stems)], of_stem[of_stem < len(stems)]
+    positive = _marking(of_text, of_stem, labels, stems)
     if not len(positive):
         return constant
-    common = np.where(length >= 4, in_clean, 0)
-    neutral = [k for k in np.argsort(-common, kind="stable").tolist() if k not in set(positive.tolist())][:NEUTRAL]
-    landmarks = np.concatenate((first[positive], first[np.array(neutral, np.int64)]))
-    kernel = Kernel(*tokens.select(landmarks))
-    square = kernel.values(*tokens.select(landmarks)).astype(float)
+    clean_count = np.bincount(of_stem[labels[of_text] == 0], minlength=len(stems))
+    chosen = set(positive)
+    neutral = [k for k in np.argsort(-clean_count, kind="stable").tolist() if k not in chosen][:NEUTRAL]
+    landmarks = [stems[k] for k in [*positive, *neutral]]
+    ends = np.cumsum([0] + [len(x) for x in landmarks])
+    kernel = Kernel(np.concatenate(landmarks), ends)
+    square = kernel.values(np.concatenate(landmarks), ends).astype(float)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
-    keep = values > 1e-6 * values.max()
+    keep = values > 1e-4 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
 
     by_kind = kernel.values(*tokens.select(first)).astype(float) @ whiten
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(tokens.sentence) != 0)))
-    x = np.add.reduceat(by_kind[kind], heads, axis=0)
-    text = tokens.text[heads]
-    marked = np.zeros(len(first), bool)
-    marked[positive] = True
-    has_mark = np.add.reduceat(marked[kind].astype(int), heads) > 0
+    at_once = tokens.once(kind)
+    sentence = tokens.sentence[at_once]
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(sentence) != 0)))
+    x = np.add.reduceat(by_kind[kind[at_once]], heads, axis=0)
+    text = tokens.text[at_once][heads]
+    marked = np.isin(stem_of, positive).any(axis=1)
+    has_mark = np.add.reduceat(marked[kind[at_once]].astype(int), heads) > 0
     # labelled sentences: those of clean documents, and those of toxic documents that hold a marking token
     use = (labels[text] == 0) | has_mark
     y = np.where(labels[text] == 1, 1.0, -1.0)
     rng = np.random.default_rng(3)
     # the marking tokens again in a distorted spelling, alone and put into clean sentences
-    bent = [w for k in positive for w in _distort(tokens.codes[tokens.offset[first[k]] : tokens.offset[first[k] + 1]], rng)]
+    plain = first[marked][np.argsort(-np.bincount(kind, minlength=len(first))[marked], kind="stable")[:200]]
+    bent = [w for i in plain for w in _distort(tokens.codes[tokens.offset[i] : tokens.offset[i + 1]], rng)]
     bent_x = kernel.values(np.concatenate(bent), np.concatenate(([0], np.cumsum([len(w) for w in bent])))).astype(float) @ whiten
     clean = np.flatnonzero(labels[text] == 0)
     mixed = np.concatenate([bent_x, *(bent_x + x[rng.choice(clean, len(bent_x))] for _ in range(3))])
     features = np.concatenate((x[use], mixed))
     target = np.concatenate((y[use], np.ones(len(mixed))))
-    weight = np.where(target > 0, 0.5 / max(1, (target > 0).sum()), 0.5 / max(1, (target < 0).sum())) * len(target)
+    weight = np.where(target > 0, 0.3 / max(1, (target > 0).sum()), 0.7 / max(1, (target < 0).sum())) * len(target)
     w, b = _svm(features, target, weight)
     model = ToxicityModel(kernel, whiten @ w, b, (1.0, 0.0))
-    margins = model.margins(tokens, len(examples))
+    margins = _seen(model.margins(tokens, len(examples)))
     a, c = 1.0, 0.0
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(a * margins + c, -30, 30)))
@@ -230,7 +298,11 @@ def fit(examples: list[tuple[str, int]]) -> ToxicityModel:
     return model
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, float]:
+def _seen(margins: np.ndarray) -> np.ndarray:
+    return np.clip(margins, -1, 1) + 0.01 * np.clip(margins, -10, 10)
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Squared-hinge linear support vector machine by Newton steps on the rows inside the margin."""
     full = np.concatenate((x, np.ones((len(x), 1))), axis=1)
     theta = np.zeros(full.shape[1])
