@@ -52,6 +52,22 @@ def mixing_rates(
     labelled rows or tokens all rates are 1. Targets out of reach (no document resembles the domain) are met as
     nearly as least squares can. More than MAX_DOMAINS domains are an error.
     """
+    placed, rates = _fit(docs, labelled, targets, id_col, text_col, domain_col, total_tokens, max_steps, tolerance)
+    joined = placed.join(F.broadcast(rates), "cell", "left")
+    return joined.select(F.col("id").alias(id_col), "cell", "n_tokens", "rate", _copies(F.col("id"), seed).alias("copies"))
+
+
+def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "lang", total_tokens: int | None = None, max_steps: int = 25, tolerance: float = 1e-6, seed: int = 1) -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as mixing_rates() says; no row of text is shuffled."""
+    placed, rates = _fit(docs, labelled, targets, id_col, text_col, domain_col, total_tokens, max_steps, tolerance)
+    own = [F.col(f"row.{c}") for c in docs.columns]
+    rated = docs.select(F.struct("*").alias("row"), _cell(F.coalesce(F.col(text_col), F.lit(""))).alias("cell")).join(F.broadcast(rates), "cell", "left")
+    counted = rated.select("row", _copies(F.col(f"row.{id_col}"), seed).alias("copies")).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*own)
+
+
+def _fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, domain_col: str, total_tokens: int | None, max_steps: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Every row's cell and tokens, and the rate of every cell: (levels + 1) ^ groups rows at most, so they may be broadcast."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = workspace.materialise(docs.select(F.col(id_col).alias("id"), _cell(text).alias("cell"), _tokens(text).alias("n_tokens")), "cells")
     counts = labelled.where(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("domain"), _cell(text).alias("cell")).groupBy("cell", "domain").count()
@@ -64,7 +80,7 @@ def mixing_rates(
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not domains or not total:
         rates = cells.select("cell", F.lit(1.0).alias("rate"))
-        return _copies(placed, rates, id_col, seed)
+        return placed, rates
     wanted = targets or {d: 1.0 for d in domains}
     weight = sum(wanted.get(d, 0.0) for d in domains)
     if weight <= 0:
@@ -90,7 +106,7 @@ def mixing_rates(
             break
         last = miss
         rate = F.greatest(F.lit(0.0), rate - dot(_solve(gram, residual)))
-    return _copies(placed, table.select("cell", best.alias("rate")), id_col, seed)
+    return placed, table.select("cell", best.alias("rate"))
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -109,9 +125,6 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def _copies(placed: DataFrame, rates: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """The rates are a row for each cell, (levels + 1) ^ groups at most, so they are broadcast."""
-    joined = placed.join(F.broadcast(rates), "cell", "left")
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long")
-    return joined.select(F.col("id").alias(id_col), "cell", "n_tokens", "rate", copies.alias("copies"))
+def _copies(key: Column, seed: int) -> Column:
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long")

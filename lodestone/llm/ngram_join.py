@@ -270,22 +270,25 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # round two: pairs of holders that are still in different components
     placed = shared.select("id", "n", "token").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
+    opened = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
     # s: how many of a document's shingles any other open document may have; no pair shares more than the smaller s
-    some = texts.join(left.select("id").distinct(), "id", "left_semi")
+    some = texts.join(opened.select("id").distinct(), "id", "left_semi")
     again = bloom.twice_seen(some, _set_values(width), FILTER_BITS)
     common = some.mapInArrow(_common(again, width), f"id {kind}, s long")
-    left = left.join(common, "id").select("token", "id", "n", "component", "s")
+    left = opened.join(common, "id").select("token", "id", "n", "component", "s")
     right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
     reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
     rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable).select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _checked(rest, held, texts, width, percent)
     if second.where("linked").limit(1).count():
         groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
-    workspace.drop(texts)
     whole = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     placed_ids = whole.unionAll(groups.select(F.col("node").alias("id"), "component")).withColumnRenamed("id", "own")
-    return rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    result = rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    result = workspace.materialise(result, "components")
+    for done in (measured, held, shared, texts, first, opened, second):
+        workspace.drop(done)
+    return result
 
 
 def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:

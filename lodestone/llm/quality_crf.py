@@ -19,6 +19,7 @@ from . import crf, samples, spans
 
 PER_CLASS = 1200
 MAX_CHARS = 30_000
+GOOD = 0.7
 
 
 def _set(*parts: tuple[int, int] | str) -> np.ndarray:
@@ -154,14 +155,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     scores are one half; an empty table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~samples.held_out(F.col("id"), 4, 2)).groupBy("id").agg(F.min("label").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(docs, samples.sample_ids(known, per_class), MAX_CHARS)))
+    model = _learn(docs, labels, id_col, text_col, label_col, per_class)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model.value, batch.column(1)))], names=["id", "score"])
+
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, f"id {kind}, score double")
+    return scored.select(F.col("id").alias(id_col), samples.held_out(F.col("id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is GOOD or more; nothing is shuffled. Same model and cases as score_quality."""
+    model = _learn(docs, labels, id_col, text_col, label_col, per_class)
+    place = docs.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.value.score(data, at) for _, _, data, at in spans.chunked(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["id", "score"])
+            yield batch.filter(pa.array(_scores(model.value, batch.column(place)) >= GOOD))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int):
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~samples.held_out(F.col("id"), 4, 2)).groupBy("id").agg(F.min("label").alias("label"))
+    return docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(texts, samples.sample_ids(known, per_class), MAX_CHARS)))
+
 
-    scored = docs.mapInArrow(task, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), samples.held_out(F.col("id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+def _scores(model: QualityModel, text: pa.Array) -> np.ndarray:
+    parts = [model.score(data, at) for _, _, data, at in spans.chunked(text)]
+    return np.concatenate(parts) if parts else np.zeros(0)

@@ -2,7 +2,7 @@
 
 A token is what is left of a word when all but its letters are dropped; three or more single letters in a row are one token.
 Two tokens compare by their common subsequences of three symbols (letters, and a mark before the first), each weighted by
-decay ^ (gaps it spans), over a bounded norm of each token, to the power POWER. So an insult with inserted characters or gaps still resembles the plain one.
+decay ^ (gaps it spans), over the landmark's squared norm or a share of both norms, to the power POWER. So an insult with inserted characters or gaps still resembles the plain one.
 A sentence's kernel is the sum over its distinct tokens. Landmarks are tokens or their stems: those that mark toxic documents most,
 and frequent neutral ones; Nyström features (kernel values against the landmarks, whitened) feed a linear support vector machine over labelled
 sentences. As its score is a sum over tokens, each distinct token of a block is scored once. A document's score
@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 from . import samples, spans
 from .language_crf import fold
 
-PER_CLASS = 2500
-MAX_CHARS = 30_000
-DECAY = 0.85
+PER_CLASS = 1200
+MAX_CHARS = 8_000
+DECAY = 0.9
 MAX_SPAN = 5
-POWER = 6
-POSITIVE, NEUTRAL = 36, 12
+POWER = 3
+POSITIVE, NEUTRAL, HARD = 28, 6, 30
+BENT = 0.3  # weight of a distorted example
 STEMS = (4, 5, 6)
 SYMBOLS = 35
 MARK = 34
-MOST_NORM = 2.5
+LENIENCE = 0.7
 CHUNK = 4 << 20
 _U = np.uint64
+PULL = 3.0
 GAPS = [(a, b) for a in range(1, MAX_SPAN) for b in range(1, MAX_SPAN - a + 1)]
 
 #: 0-25 for a-z, 26-33 for the later bytes of non-ASCII code points by their low bits, -1 for what is dropped.
@@ -93,9 +95,6 @@ class Tokens:
         where = np.arange(offset[-1]) + np.repeat(self.offset[which] - offset[:-1], size)
         return self.codes[where], offset
 
-    def word(self, i: int) -> bytes:
-        return bytes((97 + c if c < 26 else 42) for c in self.codes[self.offset[i] : self.offset[i + 1]].tolist())
-
 
 def _triples(codes: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pair of gaps: (places, triple codes, weight)."""
@@ -107,17 +106,12 @@ def _triples(codes: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _norms(codes: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Root of the summed squared weights, up to a bound: a fixed positive function of the token, so the kernel stays positive definite."""
+    """Root of the summed squared weights of each token."""
     total = np.zeros(len(codes))
     for at, _, w in _triples(codes, offset):
         total[at] += w * w
     sums = np.concatenate(([0], np.cumsum(total)))
-    return np.minimum(np.sqrt(np.maximum(sums[offset[1:]] - sums[offset[:-1]], 1.0)), MOST_NORM)
-
-
-def _weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(t, np.full(len(t), w)) for _, t, w in _triples(codes, np.array([0, len(codes)]))]
-    return np.concatenate([t for t, _ in parts]), np.concatenate([w for _, w in parts])
+    return np.sqrt(np.maximum(sums[offset[1:]] - sums[offset[:-1]], 1.0))
 
 
 class Kernel:
@@ -129,11 +123,9 @@ class Kernel:
         owner = np.repeat(np.arange(n), np.diff(offset))
         for at, triple, w in _triples(codes, offset):
             np.add.at(self.table, (triple, owner[at]), w)
-        norms = _norms(codes, offset)
-        self.table /= norms[None, :].astype(np.float32)
-        own = np.array([(self.table[t, k] * w).sum() for k in range(n) for t, w in [_weighted(codes[offset[k] : offset[k + 1]])]])
-        #: no token resembles a landmark more than the landmark itself does, however often it repeats its letters
-        self.most = (own / norms).astype(np.float32)
+        # the landmark's norm, with its own repeated triples added up
+        self.norm = np.sqrt(np.maximum((self.table.astype(float) ** 2).sum(axis=0), 1.0)).astype(np.float32)
+        self.table /= self.norm
 
     def values(self, codes: np.ndarray, offset: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offset) - 1, self.table.shape[1]), np.float32)
@@ -144,9 +136,10 @@ class Kernel:
             sums = np.zeros((len(c) + 1, self.table.shape[1]), np.float32)
             for at, triple, w in _triples(c, o):
                 sums[at] += self.table[triple] * np.float32(w)
-            part = np.add.reduceat(sums, o[:-1], axis=0) if len(c) else 0
-            out[low : low + 4096] = part / _norms(c, o)[:, None]
-        return np.minimum(out, self.most) ** POWER
+            part = np.add.reduceat(sums, o[:-1], axis=0)
+            # a longer token than the landmark is not held against it fully: it may contain it
+            out[low : low + 4096] = part / np.maximum(self.norm[None, :], LENIENCE * _norms(c, o)[:, None])
+        return np.minimum(out, 1) ** POWER
 
 
 class ToxicityModel:
@@ -173,29 +166,22 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.link[0] * seen + self.link[1], -30, 30)))
 
 
-def _stems(tokens: Tokens, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct stems (the mark and the first letters, or a whole token of up to 12 letters), and the stems of each kind of token; len(stems) for none."""
-    size = tokens.offset[first + 1] - tokens.offset[first] - 1
-    found: dict[bytes, int] = {}
-    stems: list[np.ndarray] = []
-    rows = np.full((len(first), len(STEMS) + 1), -1, np.int64)
-    for k, (i, n) in enumerate(zip(first.tolist(), size.tolist(), strict=True)):
-        low = tokens.offset[i]
-        for j, m in enumerate((*STEMS, n if STEMS[-1] < n <= 12 else 0)):
-            if 0 < m <= n:
-                code = tokens.codes[low : low + m + 1]
-                key = code.astype(np.uint8).tobytes()
-                if key not in found:
-                    found[key] = len(stems)
-                    stems.append(code)
-                rows[k, j] = found[key]
-    rows[rows < 0] = len(stems)
-    return stems, rows
-
-
-def _marking(text: np.ndarray, stem: np.ndarray, labels: np.ndarray, stems: list[np.ndarray]) -> list[int]:
+def _stems(tokens: Tokens, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place and length of each distinct stem (the mark and the first letters, or a whole token of up to 12), and the stems of each kind of token; their count for none."""
+    low = tokens.offset[first]
+    size = tokens.offset[first + 1] - low - 1
+    lengths = np.stack([np.where(size >= m, m, 0) for m in STEMS] + [np.where((size > STEMS[-1]) & (size <= 12), size, 0)], axis=1)
+    at = np.repeat(low, lengths.shape[1])
+    n = lengths.ravel()
+    h = spans.hash_spans(spans.mix(tokens.codes.astype(_U) + _U(1)), at, at + n + 1)
+    _, place, kind = np.unique(h[n > 0], return_index=True, return_inverse=True)
+    rows = np.full(len(n), len(place))
+    rows[n > 0] = kind
+    return at[n > 0][place], n[n > 0][place] + 1, rows.reshape(lengths.shape)
+
+
+def _marking(text: np.ndarray, stem: np.ndarray, labels: np.ndarray, n: int, code_of) -> list[int]:
     """Stems that mark toxic texts, greedily: a text that a chosen stem covers counts for less afterwards."""
-    n = len(stems)
     toxic = labels[text] == 1
     in_clean = np.bincount(stem[~toxic], minlength=n)
     t_text, t_stem = text[toxic], stem[toxic]
@@ -211,9 +197,9 @@ def _marking(text: np.ndarray, stem: np.ndarray, labels: np.ndarray, stems: list
         if z[best] < 2.5:
             break
         out.append(best)
-        own = stems[best].tolist()
+        own = code_of(best).tolist()
         for k in np.flatnonzero(~barred).tolist():  # stems of the same word say the same
-            other = stems[k].tolist()
+            other = code_of(k).tolist()
             if other[: len(own)] == own or own[: len(other)] == other:
                 barred[k] = True
         weight[np.unique(t_text[t_stem == best])] *= 0.6
@@ -242,60 +228,72 @@ def fit(examples: list[tuple[str, int]]) -> ToxicityModel:
     data, at = spans.text_buffers(pa.array([t for t, _ in examples], pa.string()))
     tokens = Tokens(data, at)
     first, kind = tokens.distinct()
-    stems, stem_of = _stems(tokens, first)
-    pairs = np.unique(np.repeat(tokens.text, stem_of.shape[1]) * np.int64(len(stems) + 1) + stem_of[kind].ravel())
-    of_text, of_stem = pairs // (len(stems) + 1), pairs % (len(stems) + 1)
-    of_text, of_stem = of_text[of_stem < len(stems)], of_stem[of_stem < len(stems)]
-    positive = _marking(of_text, of_stem, labels, stems)
+    stem_at, stem_size, stem_of = _stems(tokens, first)
+    n = len(stem_at)
+    code_of = lambda k: tokens.codes[stem_at[k] : stem_at[k] + stem_size[k]]
+    pairs = np.unique(np.repeat(tokens.text, stem_of.shape[1]) * np.int64(n + 1) + stem_of[kind].ravel())
+    of_text, of_stem = pairs // (n + 1), pairs % (n + 1)
+    of_text, of_stem = of_text[of_stem < n], of_stem[of_stem < n]
+    positive = _marking(of_text, of_stem, labels, n, code_of)
     if not len(positive):
         return constant
-    clean_count = np.bincount(of_stem[labels[of_text] == 0], minlength=len(stems))
+    clean_count = np.bincount(of_stem[labels[of_text] == 0], minlength=n)
     chosen = set(positive)
-    neutral = [k for k in np.argsort(-clean_count, kind="stable").tolist() if k not in chosen][:NEUTRAL]
-    landmarks = [stems[k] for k in [*positive, *neutral]]
+    neutral = [code_of(k) for k in np.argsort(-clean_count, kind="stable").tolist() if k not in chosen][:NEUTRAL]
+    landmarks = [code_of(k) for k in positive]
+    marked = np.isin(stem_of, positive).any(axis=1)
+    # twice: the second time with the tokens of clean documents that the first model takes for insults as landmarks too
+    model = _fit_landmarks(tokens, first, kind, marked, labels, [*landmarks, *neutral])
+    in_clean = np.bincount(np.unique(tokens.text[labels[tokens.text] == 0] * np.int64(len(first)) + kind[labels[tokens.text] == 0]) % len(first), minlength=len(first))
+    harm = np.where((in_clean > 0) & ~marked, model.kernel.values(*tokens.select(first)) @ model.alpha, 0)
+    worst = [i for i in np.argsort(-harm * np.sqrt(in_clean), kind="stable")[:HARD].tolist() if harm[i] > 0.3]
+    hard = [tokens.codes[tokens.offset[first[i]] : tokens.offset[first[i] + 1]] for i in worst]
+    model = _fit_landmarks(tokens, first, kind, marked, labels, [*landmarks, *neutral, *hard])
+    margins = _seen(model.margins(tokens, len(examples)))
+    a, c = 1.0, 0.0
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(a * margins + c, -30, 30)))
+        r = q * (1 - q)
+        g = np.array([((labels - q) * margins).sum() - PULL * (a - 3), (labels - q).sum() - 0.01 * c])
+        hess = np.array([[(r * margins * margins).sum() + PULL, (r * margins).sum()], [(r * margins).sum(), r.sum() + 0.01]])
+        step = np.clip(np.linalg.solve(hess, g), -2, 2)
+        a, c = a + step[0], c + step[1]
+        if abs(step).max() < 1e-7:
+            break
+    model.link = (float(a), float(c))
+    return model
+
+
+def _fit_landmarks(tokens: Tokens, first: np.ndarray, kind: np.ndarray, marked: np.ndarray, labels: np.ndarray, landmarks: list[np.ndarray]) -> ToxicityModel:
+    """The support vector machine over the sample's sentences in the Nyström features of some landmarks."""
     ends = np.cumsum([0] + [len(x) for x in landmarks])
     kernel = Kernel(np.concatenate(landmarks), ends)
     square = kernel.values(np.concatenate(landmarks), ends).astype(float)
     values, vectors = np.linalg.eigh((square + square.T) / 2)
-    keep = values > 1e-4 * values.max()
+    keep = values > 1e-3 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-
-    by_kind = kernel.values(*tokens.select(first)).astype(float) @ whiten
+    by_kind = kernel.values(*tokens.select(first)) @ whiten.astype(np.float32)
     at_once = tokens.once(kind)
     sentence = tokens.sentence[at_once]
     heads = np.flatnonzero(np.concatenate(([True], np.diff(sentence) != 0)))
     x = np.add.reduceat(by_kind[kind[at_once]], heads, axis=0)
     text = tokens.text[at_once][heads]
-    marked = np.isin(stem_of, positive).any(axis=1)
     has_mark = np.add.reduceat(marked[kind[at_once]].astype(int), heads) > 0
     # labelled sentences: those of clean documents, and those of toxic documents that hold a marking token
-    use = (labels[text] == 0) | has_mark
-    y = np.where(labels[text] == 1, 1.0, -1.0)
+    clean = np.flatnonzero(labels[text] == 0)
+    use = np.concatenate((clean, np.flatnonzero((labels[text] == 1) & has_mark)))
+    y = np.where(labels[text[use]] == 1, 1.0, -1.0)
     rng = np.random.default_rng(3)
-    # the marking tokens again in a distorted spelling, alone and put into clean sentences
+    # the marking tokens again in a distorted spelling, put into clean sentences
     plain = first[marked][np.argsort(-np.bincount(kind, minlength=len(first))[marked], kind="stable")[:200]]
     bent = [w for i in plain for w in _distort(tokens.codes[tokens.offset[i] : tokens.offset[i + 1]], rng)]
-    bent_x = kernel.values(np.concatenate(bent), np.concatenate(([0], np.cumsum([len(w) for w in bent])))).astype(float) @ whiten
-    clean = np.flatnonzero(labels[text] == 0)
-    mixed = np.concatenate([bent_x, *(bent_x + x[rng.choice(clean, len(bent_x))] for _ in range(3))])
-    features = np.concatenate((x[use], mixed))
-    target = np.concatenate((y[use], np.ones(len(mixed))))
-    weight = np.where(target > 0, 0.3 / max(1, (target > 0).sum()), 0.7 / max(1, (target < 0).sum())) * len(target)
-    w, b = _svm(features, target, weight)
-    model = ToxicityModel(kernel, whiten @ w, b, (1.0, 0.0))
-    margins = _seen(model.margins(tokens, len(examples)))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * margins + c, -30, 30)))
-        r = q * (1 - q)
-        g = np.array([((labels - q) * margins).sum() - 0.01 * (a - 1), (labels - q).sum() - 0.01 * c])
-        hess = np.array([[(r * margins * margins).sum() + 0.01, (r * margins).sum()], [(r * margins).sum(), r.sum() + 0.01]])
-        step = np.clip(np.linalg.solve(hess, g), -2, 2)
-        a, c = a + step[0], c + step[1]
-        if abs(step).max() < 1e-7:
-            break
-    model.link = (float(a), float(c))
-    return model
+    bent_x = kernel.values(np.concatenate(bent), np.concatenate(([0], np.cumsum([len(w) for w in bent])))) @ whiten.astype(np.float32)
+    mixed = np.concatenate([bent_x + x[rng.choice(clean, len(bent_x))] for _ in range(2)]) if len(clean) else bent_x
+    target = np.concatenate((y, np.ones(len(mixed))))
+    weight = np.concatenate((np.where(y > 0, 1.0, 0.0), np.full(len(mixed), BENT)))
+    weight = np.where(target > 0, 0.3 * weight / max(1e-9, weight.sum()), 0.7 / max(1, len(clean))) * len(target)
+    w, b = _svm(np.concatenate((x[use], mixed)).astype(float), target, weight)
+    return ToxicityModel(kernel, (whiten @ w).astype(np.float32), b, (1.0, 0.0))
 
 
 def _seen(margins: np.ndarray) -> np.ndarray:

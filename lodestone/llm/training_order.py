@@ -119,9 +119,9 @@ def _number(vocabulary, offsets, seq_len: int, total: int, seed: int, rows_per_s
         at = begin
         for batch in batches:
             encoder = encoder or _encoder(vocabulary)
-            for low in range(0, len(batch), 500):
+            for low in range(0, len(batch), 200):
                 rows, seqs, sizes, data = [], [], [], []
-                for i, text in enumerate(batch.column(1).slice(low, 500)):
+                for i, text in enumerate(batch.column(1).slice(low, 200)):
                     records, n = encoder.records(text.as_py() or "", seq_len)
                     rows += [low + i] * len(records)
                     seqs += range(len(records))
@@ -211,8 +211,10 @@ def write_training_order(
     _make_folder(spark, folder)
     if total:
         numbered = docs.mapInArrow(_number(ranks, offsets, seq_len, total, seed, rows_per_shard), f"{schema}, data binary")
+        # the ranges are known, so no sample of the input is taken to find them: each partition gets consecutive whole shards
         shards = -(-total // rows_per_shard)
-        ranged = numbered.repartitionByRange(min(shards, 20_000), "shard").sortWithinPartitions("slot")
+        parts = min(shards, 20_000)
+        ranged = numbered.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("slot")
         ranged.mapInArrow(_write(folder), schema).write.parquet(index)
     else:
         spark.createDataFrame([], schema).write.parquet(index)
