@@ -26,18 +26,33 @@ MAX_DOMAINS = 64
 SMOOTHING = 1.0
 
 
-def _cell(text: Column) -> Column:
+def _marks(text: Column) -> Column:
+    """What is left of a text when all but the characters of the groups are dropped, in one pass."""
+    members = "".join(GROUPS)
+    kept = "".join(sorted(set(members + members.upper().replace("SS", ""))))
+    return F.lower(F.regexp_replace(text, "[^" + kept.replace("&", "\\&") + "]+", ""))
+
+
+def _cell(text: Column, marks: Column) -> Column:
     size = F.length(text)
     cell = F.lit(0)
     for group in GROUPS:
-        found = size - F.length(F.translate(F.lower(text), group, ""))
+        found = F.length(marks) - F.length(F.translate(marks, group, ""))
         level = sum((1000 * found > bound * size).cast("int") for bound in LEVELS)
         cell = cell * (len(LEVELS) + 1) + level
     return cell
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Runs of non-white-space: each run with the space around it becomes one character, and those are counted."""
+    space = r"\x20\x09-\x0D"
+    return F.length(F.translate(F.regexp_replace(text, f"[{space}]*[^{space}]+[{space}]*", "x"), " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+def _placed(docs: DataFrame, text_col: str, *others: Column) -> DataFrame:
+    """Other columns, with the cell and the text as `t`."""
+    text = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("marks", _marks(F.col("t")))
+    return text.withColumn("cell", _cell(F.col("t"), F.col("marks"))).drop("marks")
 
 
 def mixing_rates(
@@ -45,7 +60,7 @@ def mixing_rates(
 ) -> DataFrame:
     """(id, cell, n_tokens, rate, copies) for every input row.
 
-    `labelled` has texts and a domain for each; rows whose domain is null do not count. `targets` are weights by domain
+    `labelled` has the ids of the rows whose domain is to be learned from; rows whose domain is null do not count. `targets` are weights by domain
     (missing domains get 0; all domains found get equal weights by default), scaled to sum to 1; `total_tokens` is what the mix should hold (the
     input's tokens by default). Null and empty texts have no tokens, fall in the cell of no characters, and take its
     rate. Rows that repeat an id get equal copies for equal texts; rows with a null id decide by a fixed hash. Without
@@ -61,16 +76,17 @@ def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] |
     """The rows of `docs`, with all their columns, each as often as mixing_rates() says; no row of text is shuffled."""
     placed, rates = _fit(docs, labelled, targets, id_col, text_col, domain_col, total_tokens, max_steps, tolerance)
     own = [F.col(f"row.{c}") for c in docs.columns]
-    rated = docs.select(F.struct("*").alias("row"), _cell(F.coalesce(F.col(text_col), F.lit(""))).alias("cell")).join(F.broadcast(rates), "cell", "left")
+    rated = _placed(docs, text_col, F.struct("*").alias("row")).select("row", "cell").join(F.broadcast(rates), "cell", "left")
     counted = rated.select("row", _copies(F.col(f"row.{id_col}"), seed).alias("copies")).where("copies > 0")
     return counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*own)
 
 
 def _fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, domain_col: str, total_tokens: int | None, max_steps: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Every row's cell and tokens, and the rate of every cell: (levels + 1) ^ groups rows at most, so they may be broadcast."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = workspace.materialise(docs.select(F.col(id_col).alias("id"), _cell(text).alias("cell"), _tokens(text).alias("n_tokens")), "cells")
-    counts = labelled.where(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("domain"), _cell(text).alias("cell")).groupBy("cell", "domain").count()
+    all_cells = _placed(docs, text_col, F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain"))
+    placed = workspace.materialise(all_cells.select("id", "domain", "cell", _tokens(F.col("t")).alias("n_tokens")), "cells")
+    known = placed.where("domain is not null").join(labelled.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    counts = known.groupBy("cell", "domain").count()
     counts = workspace.materialise(counts, "table")
     shares = {r.domain: r.n for r in counts.groupBy("domain").agg(F.sum("count").alias("n")).orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
     if len(shares) > MAX_DOMAINS:

@@ -249,7 +249,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = measured.where("kind = 0").select("id", "n", "s1", "s2")
     classes = _classes(measured)
     sets = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.*")
-    reps = sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    reps = workspace.materialise(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")  # as a table, so that the join can split a hot group
     copies = sets.join(reps, ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
     twice = bloom.twice_seen(docs, _prefix_values(classes, width, percent), FILTER_BITS)
     indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>")
@@ -286,7 +286,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed_ids = whole.unionAll(groups.select(F.col("node").alias("id"), "component")).withColumnRenamed("id", "own")
     result = rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     result = workspace.materialise(result, "components")
-    for done in (measured, held, shared, texts, first, opened, second):
+    for done in (measured, reps, held, shared, texts, first, opened, second):
         workspace.drop(done)
     return result
 

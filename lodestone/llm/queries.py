@@ -136,9 +136,7 @@ MIX = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    return mixing.mixing_rates(docs, labelled, MIX)
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
 
 
 QUERIES = {

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, spans
+from . import bloom, spans, workspace
 
 _U = np.uint64
 STOP = np.zeros(256, bool)
@@ -125,8 +125,9 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = bloom.twice_seen(docs, _span_hashes(min_sentences, min_words), FILTER_BITS)
-    suspects = docs.mapInArrow(_suspects(pieces, min_sentences, min_words), f"id {kind}, h1 long, h2 long, pos int, size int")
+    suspects = workspace.materialise(docs.mapInArrow(_suspects(pieces, min_sentences, min_words), f"id {kind}, h1 long, h2 long, pos int, size int"), "spans")
     firsts = suspects.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = workspace.materialise(firsts, "firsts")  # as a table, so that the join can split a hot span's rows
     later = suspects.join(firsts, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("origin.id")) & (F.col("pos") == F.col("origin.pos"))))
     cuts = later.groupBy("id").agg(F.collect_list(F.struct("pos", "size")).alias("cuts"), F.array_sort(F.collect_set("origin.id")).alias("repeats_of")).withColumnRenamed("id", "cut_id")
     joined = docs.join(cuts, docs["id"].eqNullSafe(cuts["cut_id"]), "left")

@@ -74,14 +74,18 @@ class Encoder:
 
     def records(self, text: str, seq_len: int) -> tuple[np.ndarray, int]:
         """The padded records of a text, and how many ids they hold with the end mark."""
-        ids = self.core.encode_ordinary(text)
+        ids = self._ids(text)
         n = len(ids) + 1
         out = np.full((-(-n // seq_len), seq_len), self.end, self.kind)
         out.ravel()[: len(ids)] = ids
         return out, n
 
     def count(self, text: str, seq_len: int) -> int:
-        return -(-(len(self.core.encode_ordinary(text)) + 1) // seq_len)
+        return -(-(len(self._ids(text)) + 1) // seq_len)
+
+    def _ids(self, text: str) -> np.ndarray:
+        """Straight into an array: no Python integer for each id."""
+        return self.core.encode_to_numpy(text, disallowed_special=())
 
 
 _encoders: dict[bytes, Encoder] = {}
