@@ -35,8 +35,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat or go so that languages hold their shares of the tokens."""
-    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    return mixing.apply_mix(docs, labelled, MIX)
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), MIX)
 
 
 def training(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
