@@ -165,12 +165,13 @@ def _index(classes, twice, width: int, percent: int):
                 table, words = np.frombuffer(zlib.decompress(classes.value), np.uint8), bloom.load(twice, FILTER_BITS)
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
-                lists = []
+                lists, alone = [], np.zeros(high - low, np.int64)
                 for (text, p), seed in zip(_prefixes(h, first, table, percent), SEEDS, strict=True):
                     again = bloom.has(words, spans.mix(p ^ seed), FILTER_BITS)
+                    alone = np.maximum(alone, np.bincount(text[~again], minlength=high - low))
                     lists.append(_lists(text[again], p[again], high - low))
                 n, s1, s2 = _signatures(h, first)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), *lists], names=["id", "n", "s1", "s2", "p1", "p2"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), pa.array(n - alone), *lists], names=["id", "n", "s1", "s2", "s", "p1", "p2"])
                 yield out.filter(pa.array((np.diff(lists[0].offsets.to_numpy()) > 0) & (np.diff(lists[1].offsets.to_numpy()) > 0)))
 
     return task
@@ -190,26 +191,6 @@ def _of_signature(width: int):
     return task
 
 
-def _set_values(width: int):
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, at in spans.chunked(batch.column(1)):
-            yield shingle_sets(data, at, width)[0]
-
-    return values
-
-
-def _common(twice, width: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
-        for batch in batches:
-            words = bloom.load(twice, FILTER_BITS) if words is None else words
-            for low, high, data, at in spans.chunked(batch.column(1)):
-                h, first = shingle_sets(data, at, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(spans.per_text(bloom.has(words, h, FILTER_BITS), first))], names=["id", "s"])
-
-    return task
-
-
 def _verify(width: int, percent: int):
     def sets(column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -252,9 +233,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     reps = workspace.materialise(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")  # as a table, so that the join can split a hot group
     copies = sets.join(reps, ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
     twice = bloom.twice_seen(docs, _prefix_values(classes, width, percent), FILTER_BITS)
-    indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>")
+    indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, s long, p1 array<long>, p2 array<long>")
     keys = reps.withColumnRenamed("rep", "id")
-    held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "p1", "p2"), "prefixes")
+    held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "s", "p1", "p2"), "prefixes")
 
     # the share of a document's prefixes that other documents may have: highest for the source of a group of edited copies
     entries = held.select("id", "n", ((F.size("p1") + F.size("p2")) / F.col("n")).alias("share"), F.explode("p1").alias("token"))
@@ -264,29 +245,25 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     shared = workspace.materialise(entries.select("token", "id", F.col("n").cast("int").alias("n")).join(centres, "token"), "index")
     near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
     stars = shared.where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    texts = _texts(docs, held, shared.select("id").distinct(), width)
-    first = _checked(stars, held, texts, width, percent)
+    first = _checked(stars, held, docs, width, percent)
     groups = workspace.materialise(connected_components(first.where("linked"), "a", "b"), "groups")
     # round two: pairs of holders that are still in different components
     placed = shared.select("id", "n", "token").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     opened = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
-    # s: how many of a document's shingles any other open document may have; no pair shares more than the smaller s
-    some = texts.join(opened.select("id").distinct(), "id", "left_semi")
-    again = bloom.twice_seen(some, _set_values(width), FILTER_BITS)
-    common = some.mapInArrow(_common(again, width), f"id {kind}, s long")
-    left = opened.join(common, "id").select("token", "id", "n", "component", "s")
+    # s: a document's shingles less those that its prefixes hold alone; no pair shares more than the smaller s
+    left = opened.join(held.select("id", "s"), "id").select("token", "id", "n", "component", "s")
     right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
     reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
     rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable).select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _checked(rest, held, texts, width, percent)
+    second = _checked(rest, held, docs, width, percent)
     if second.where("linked").limit(1).count():
         groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
     whole = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     placed_ids = whole.unionAll(groups.select(F.col("node").alias("id"), "component")).withColumnRenamed("id", "own")
     result = rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     result = workspace.materialise(result, "components")
-    for done in (measured, reps, held, shared, texts, first, opened, second):
+    for done in (measured, reps, held, shared, first, opened, second):
         workspace.drop(done)
     return result
 
@@ -315,12 +292,16 @@ def _texts(docs: DataFrame, held: DataFrame, ids: DataFrame, width: int) -> Data
     return workspace.materialise(texts, "texts")
 
 
-def _checked(pairs: DataFrame, held: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidates that also share enough of the second order's prefixes, with the verdict of a full comparison."""
     kind = held.schema["id"].dataType.simpleString()
     side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p2").alias(f"p{x}"))
     sharing = F.size(F.array_intersect("pa", "pb")) > F.floor(F.least("na", "nb") / SPARE)
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b")
+    passed = workspace.materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b"), "candidates")
+    texts = _texts(docs, held, passed.select(F.col("a").alias("id")).unionAll(passed.select("b")).distinct(), width)
     text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     checked = passed.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), f"a {kind}, b {kind}, linked boolean")
-    return workspace.materialise(checked, "pairs")
+    checked = workspace.materialise(checked, "pairs")
+    workspace.drop(passed)
+    workspace.drop(texts)
+    return checked
