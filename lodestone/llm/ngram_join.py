@@ -32,7 +32,7 @@ from .components import connected_components
 
 _U = np.uint64
 COUNTER_BITS = 23
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
 ID_FILTER_BITS = 1 << 26
 SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
 SPARE = 10  # the second order's prefix is longer by one shingle in so many
@@ -47,7 +47,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     short = np.flatnonzero((count > 0) & (count < width))
     text = np.concatenate((np.searchsorted(first, begin, "right") - 1, short))
     h = spans.hash_spans(values, np.concatenate((begin, first[short])), np.concatenate((begin + width, first[short + 1])))
-    order = np.lexsort((h, text))
+    order = spans.order_by_text(text, h)
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
@@ -130,11 +130,17 @@ def _prefixes(h: np.ndarray, first: np.ndarray, classes: np.ndarray, percent: in
     """Under each order, the (text, shingle) pairs in prefixes."""
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
-    rank = classes[(h >> _U(64 - COUNTER_BITS)).astype(np.int64)]
+    rank = np.minimum(classes[(h >> _U(64 - COUNTER_BITS)).astype(np.int64)], 31).astype(_U)
     out = []
+    full = np.flatnonzero(n)
     for seed, length in zip(SEEDS, _lengths(n, percent), strict=True):
-        order = np.lexsort((spans.mix(h ^ seed), rank, text))
-        inside = np.arange(len(h)) - first[text] < length[text]
+        # text, class and the head of the hash in one word; equal words at a prefix's end are all taken in, so the cut is the same everywhere
+        word = (text.astype(_U) << _U(40)) | (rank << _U(35)) | (spans.mix(h ^ seed) >> _U(29))
+        order = np.argsort(word)
+        word = word[order]
+        last = np.zeros(len(n), _U)
+        last[full] = word[first[full] + length[full] - 1]
+        inside = word <= last[text]
         out.append((text[inside], h[order][inside]))
     return out
 
