@@ -6,6 +6,7 @@ rolling hashes of words and word windows are whole-array numpy operations; no Py
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,16 @@ def chunked(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and an executor's memory is shared."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def word_spans(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
