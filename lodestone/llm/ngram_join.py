@@ -258,10 +258,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     opened = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
     # s: a document's shingles less those that its prefixes hold alone; no pair shares more than the smaller s
-    left = opened.join(held.select("id", "s"), "id").select("token", "id", "n", "component", "s")
-    right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"))
+    left = opened.join(held.select("id", "s", "p1"), "id").select("token", "id", "n", "component", "s", "p1")
+    right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("p1").alias("pb"))
+    # a pair meets under the smallest shingle that both prefixes hold, and so leaves the join once
+    once = F.array_min(F.array_intersect("p1", "pb")) == F.col("token")
     reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
-    rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable).select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable & once).select(F.col("id").alias("a"), "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _checked(rest, held, docs, width, percent)
     if second.where("linked").limit(1).count():
         groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
