@@ -35,6 +35,7 @@ COUNTER_BITS = 23
 FILTER_BITS = 1 << 28
 ID_FILTER_BITS = 1 << 26
 SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
+BEFORE = 4
 SPARE = 10  # the second order's prefix is longer by one shingle in so many
 
 
@@ -256,14 +257,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     # round two: pairs of holders that are still in different components
     placed = shared.select("id", "n", "token").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    opened = workspace.materialise(placed.join(open_tokens, "token", "left_semi"), "open")
+    # with each open shingle go the few open ones before it in its document, so that most pairs leave the join only once
+    by_id = placed.join(open_tokens, "token", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list("token")).alias("tokens"))
     # s: a document's shingles less those that its prefixes hold alone; no pair shares more than the smaller s
-    left = opened.join(held.select("id", "s", "p1"), "id").select("token", "id", "n", "component", "s", "p1")
-    right = left.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("p1").alias("pb"))
-    # a pair meets under the smallest shingle that both prefixes hold, and so leaves the join once
-    once = F.array_min(F.array_intersect("p1", "pb")) == F.col("token")
+    spread = by_id.join(held.select("id", "s"), "id").select("id", "n", "component", "s", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    before = F.slice("tokens", F.greatest(F.col("pos") - (BEFORE - 1), F.lit(1)), F.least("pos", F.lit(BEFORE)))
+    opened = workspace.materialise(spread.select("token", "id", "n", "component", "s", before.alias("before")), "open")
+    left, right = opened, opened.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("before").alias("bb"))
     reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
-    rest = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable & once).select(F.col("id").alias("a"), "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    # the first shingle that a pair shares has no shared one before it
+    early = ~F.arrays_overlap("before", "bb")
+    met = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable & early)
+    rest = met.select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _checked(rest, held, docs, width, percent)
     if second.where("linked").limit(1).count():
         groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
