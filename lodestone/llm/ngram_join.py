@@ -11,8 +11,8 @@
 3. Candidates are verified on the whole texts. In round one each holder of an index shingle meets that shingle's
    centre only, so a group of thousands of near copies costs a few pairs a document. In round two all remaining
    pairs that share an index shingle and lie in different components so far are verified, so no link is lost;
-   pairs already connected need no verification, and a document whose shingles are too seldom anyone else's can reach
-   no partner. Components come from star contraction.
+   pairs already connected need no verification, and two documents whose second prefixes hold too few shingles that
+   are also in another document's second prefix cannot be a link. Components come from star contraction.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -127,6 +127,11 @@ def need(n):
     return n // SPARE + 1
 
 
+def _past(n: str, percent: int):
+    """How many shingles of a set of n lie past its second prefix, at most: n less the second of _lengths."""
+    return F.greatest(F.floor((percent * F.col(n) + 99) / 100) - F.floor(F.col(n) / SPARE) - 1, F.lit(0))
+
+
 def _prefixes(h: np.ndarray, first: np.ndarray, classes: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Under each order, the (text, shingle) pairs in prefixes."""
     n = np.diff(first)
@@ -172,13 +177,12 @@ def _index(classes, twice, width: int, percent: int):
                 table, words = np.frombuffer(zlib.decompress(classes.value), np.uint8), bloom.load(twice, FILTER_BITS)
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
-                lists, alone = [], np.zeros(high - low, np.int64)
+                lists = []
                 for (text, p), seed in zip(_prefixes(h, first, table, percent), SEEDS, strict=True):
                     again = bloom.has(words, spans.mix(p ^ seed), FILTER_BITS)
-                    alone = np.maximum(alone, np.bincount(text[~again], minlength=high - low))
                     lists.append(_lists(text[again], p[again], high - low))
                 n, s1, s2 = _signatures(h, first)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), pa.array(n - alone), *lists], names=["id", "n", "s1", "s2", "s", "p1", "p2"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), *lists], names=["id", "n", "s1", "s2", "p1", "p2"])
                 yield out.filter(pa.array((np.diff(lists[0].offsets.to_numpy()) > 0) & (np.diff(lists[1].offsets.to_numpy()) > 0)))
 
     return task
@@ -240,9 +244,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     reps = workspace.materialise(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")  # as a table, so that the join can split a hot group
     copies = sets.join(reps, ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
     twice = bloom.twice_seen(docs, _prefix_values(classes, width, percent), FILTER_BITS)
-    indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, s long, p1 array<long>, p2 array<long>")
+    indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>")
     keys = reps.withColumnRenamed("rep", "id")
-    held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "s", "p1", "p2"), "prefixes")
+    held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "p1", "p2"), "prefixes")
 
     # the share of a document's prefixes that other documents may have: highest for the source of a group of edited copies
     entries = held.select("id", "n", ((F.size("p1") + F.size("p2")) / F.col("n")).alias("share"), F.explode("p1").alias("token"))
@@ -259,12 +263,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     # with each open shingle go the few open ones before it in its document, so that most pairs leave the join only once
     by_id = placed.join(open_tokens, "token", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list("token")).alias("tokens"))
-    # s: a document's shingles less those that its prefixes hold alone; no pair shares more than the smaller s
-    spread = by_id.join(held.select("id", "s"), "id").select("id", "n", "component", "s", "tokens", F.posexplode("tokens").alias("pos", "token"))
+    # s: a document's shingles that second prefixes of others may hold
+    spread = by_id.join(held.select("id", F.size("p2").alias("s")), "id").select("id", "n", "component", "s", "tokens", F.posexplode("tokens").alias("pos", "token"))
     before = F.slice("tokens", F.greatest(F.col("pos") - (BEFORE - 1), F.lit(1)), F.least("pos", F.lit(BEFORE)))
     opened = workspace.materialise(spread.select("token", "id", "n", "component", "s", before.alias("before")), "open")
     left, right = opened, opened.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("before").alias("bb"))
-    reachable = (100 + percent) * F.least("s", "sb") >= percent * (F.col("n") + F.col("nb"))
+    # of what a pair shares, at most the smaller s is in both second prefixes; the rest is all past the end of one of them
+    reachable = (100 + percent) * (F.least("s", "sb") + F.greatest(_past("n", percent), _past("nb", percent))) >= percent * (F.col("n") + F.col("nb"))
     # the first shingle that a pair shares has no shared one before it
     early = ~F.arrays_overlap("before", "bb")
     met = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable & early)

@@ -119,6 +119,44 @@ def test_near_copies_of_many_documents(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def _components_by_hand(docs, width, percent):
+    sets = {i: {tuple(t.split()[j : j + width]) for j in range(max(1, len(t.split()) - width + 1))} for i, t in docs}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {i: find(i) for i in sets}
+
+
+def test_links_of_unequal_sizes_around_third_documents(spark):
+    """Each text and its longer copy meet only at shingles whose centre is a third document."""
+
+    def ranks(shingles):
+        h, _ = ngram_join.shingle_sets(*spans.text_buffers(pa.array(shingles)), 4)
+        return [spans.mix(h ^ seed) for seed in ngram_join.SEEDS]
+
+    docs = []
+    for g in range(12):
+        longer = [f"a{g}-{k}" for k in range(103)] + [f"b{g}-{k}" for k in range(16)]
+        docs += [(100 * g, " ".join(longer[:103])), (100 * g + 1, " ".join(longer))]
+        shingles = [" ".join(longer[j : j + 4]) for j in range(116)]
+        for k, j in enumerate(np.argsort(ranks(shingles)[0])[:18]):
+            # the third document is first known by the shared shingle, and second by one that a fourth document has
+            for x in range(1000):
+                other = " ".join([*longer[j + 1 : j + 4], f"x{g}-{x}"])
+                first, second = ranks([shingles[j], other])
+                if first[0] < first[1] and second[1] < second[0]:
+                    break
+            docs += [(100 * g + 2 + 2 * k, f"{shingles[j]} x{g}-{x}"), (100 * g + 3 + 2 * k, other)]
+    want = _components_by_hand(docs, 4, 85)
+    assert all(want[100 * g + 1] == 100 * g for g in range(12))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), width=4, percent=85).collect()}
+    assert got == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges, "a", "b").collect()}
