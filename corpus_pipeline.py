@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows that repeat an id stay or go together."""
-    groups = ngram_join.ngram_jaccard_components(docs)
+    """Documents that share four fifths of their five-word shingles are linked. Of each group the one with the smallest id stays; rows that repeat an id stay or go together."""
+    groups = ngram_join.ngram_jaccard_components(docs, width=5, percent=80)
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -244,3 +244,11 @@ def test_pipeline(spark, sf):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3]
     index = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert index.select("slot").distinct().count() == index.count() >= sizes[4]
+
+
+def test_pipeline_drops_a_copy_with_an_appended_block(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(124)]  # 100 of 120 shingles of five words are shared, 101 of 121 of four
+    docs = spark.createDataFrame([(1, " ".join(words[:104])), (2, " ".join(words)), (3, "else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
