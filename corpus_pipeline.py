@@ -27,10 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word in twenty, or more, inside benchmark windows go."""
-    found = decontaminate.scan_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialise(found.where(decontaminate.contaminated()).select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a word in twenty, or more, inside benchmark windows go; the others lose the words inside such windows."""
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = materialise(decontaminate.scan_benchmark(rows, table(spark, sf_dir, "benchmark"), id_col="row", cut=True), "scanned")
+    gone = materialise(found.where(decontaminate.contaminated()).select("row.doc_id").distinct(), "leaks")
+    new = {c: F.col(f"row.{c}") for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select(*[new[c].alias(c) for c in docs.columns]).join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,3 +252,17 @@ def test_pipeline_drops_a_copy_with_an_appended_block(spark):
     words = [f"w{i}" for i in range(124)]  # 100 of 120 shingles of five words are shared, 101 of 121 of four
     docs = spark.createDataFrame([(1, " ".join(words[:104])), (2, " ".join(words)), (3, "else")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_pipeline_cuts_leaks_from_long_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(60))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = [f"w{i}" for i in range(1300)]
+    docs = [(1, f"{' '.join(long[:700])} {item} {' '.join(long[700:])}", "en", 5), (2, item, "en", 5), (3, "clean text", None, 10), (None, None, None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars int")
+    got = corpus_pipeline.leaks(spark, frame, str(tmp_path))
+    kept = f"{' '.join(long[:700])}  {' '.join(long[700:])}"
+    assert got.schema == frame.schema
+    assert {tuple(r) for r in got.collect()} == {(1, kept, "en", len(kept)), docs[2], docs[3]}
