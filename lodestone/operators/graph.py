@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -31,15 +32,20 @@ def fans(edges: DataFrame) -> DataFrame:
     return by.withColumn("instability", F.round(F.col("fan_out") / (F.col("fan_in") + F.col("fan_out")), 6))
 
 
-def closure(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(src, dst) for every pair with a path, by semi-naive rounds: only new pairs are joined again."""
+def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(src, dst) for every pair with a path, by semi-naive rounds: only new pairs are joined again, until there are none.
+
+    Raises if pairs were still new in round `max_rounds`.
+    """
     edges = _cut(edges.where("src <> dst").distinct())
     seen, new = edges, edges
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         step = new.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         new = _cut(step.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"closure: still new pairs in round {max_rounds}")
         seen = _cut(seen.unionByName(new))
     return seen
 

@@ -69,3 +69,11 @@ def test_scope_keeps_findings_without_a_path(spark):
 def test_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5)], "src int, dst int")
     assert {tuple(r) for r in graph.cycles(graph.closure(e)).collect()} == {(1, 1, 3), (2, 1, 3), (3, 1, 3)}
+
+
+def test_closure_never_stops_short(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)], "src int, dst int")
+    assert graph.closure(e).count() == 21
+    assert graph.closure(e, max_rounds=6).count() == 21
+    with pytest.raises(RuntimeError):
+        graph.closure(e, max_rounds=3)
