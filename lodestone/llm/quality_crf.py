@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     whose texts have at most MAX_CHARS characters (the bound of what the driver holds). Scoring reads only the text,
     and all of it. A null or empty text is one empty line and gets that line's score. Rows with a null id are scored and are not held
     out. Repeated rows get equal scores; where labels repeat an id, the smallest label counts. Without labels all
-    scores are one half; an empty table gives an empty table.
+    scores are one half; an empty table gives an empty table. A class that has longer texts only raises a ValueError.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     model = _learn(docs, labels, id_col, text_col, label_col, per_class)
@@ -180,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int):
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~samples.held_out(F.col("id"), 4, 2)).groupBy("id").agg(F.min("label").alias("label"))
-    return docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(texts, samples.sample_ids(known, per_class), MAX_CHARS)))
+    return docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(texts, samples.sample_ids(samples.short_enough(known, texts, MAX_CHARS), per_class), MAX_CHARS)))
 
 
 def _scores(model: QualityModel, text: pa.Array) -> np.ndarray:

@@ -16,6 +16,15 @@ def held_out(id_col: Column, divisor: int, value: int) -> Column:
     return F.coalesce(remainder(id_col, divisor) == value, F.lit(False))
 
 
+def short_enough(known: DataFrame, docs: DataFrame, max_chars: int) -> DataFrame:
+    """(id, label) of the labelled documents whose text has at most max_chars characters. Raises if a class has only longer ones."""
+    sized = known.join(docs.select("id", F.length("text").alias("size")), "id")
+    lost = [r.label for r in sized.groupBy("label").agg(F.min("size").alias("least")).where(F.col("least") > max_chars).collect()]
+    if lost:
+        raise ValueError(f"no labelled text of at most {max_chars} characters for {sorted(lost)}")
+    return sized.where(F.col("size") <= max_chars).select("id", "label")
+
+
 def sample_ids(labelled: DataFrame, per_class: int) -> DataFrame:
     """(id, label) of `per_class` rows at most of each label: the smallest hash in each of so many buckets. Sums before it shuffles."""
     h = F.xxhash64("id")

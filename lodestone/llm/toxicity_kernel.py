@@ -329,12 +329,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts have at most MAX_CHARS characters (the bound of what the driver holds). Scoring reads the whole text and
     nothing else. A null or empty text has an empty sentence's score. Rows with a null id are scored and are not
     held out. Repeated rows get equal scores; where labels repeat an id, the largest label counts. Without labels all
-    scores are one half; an empty table gives an empty table.
+    scores are one half; an empty table gives an empty table. A class that has longer texts only raises a ValueError.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~samples.held_out(F.col("id"), 3, 1)).groupBy("id").agg(F.max("label").alias("label"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(docs, samples.sample_ids(known, per_class), MAX_CHARS)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(docs, samples.sample_ids(samples.short_enough(known, docs, MAX_CHARS), per_class), MAX_CHARS)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -266,3 +266,15 @@ def test_pipeline_cuts_leaks_from_long_documents(spark, tmp_path):
     kept = f"{' '.join(long[:700])}  {' '.join(long[700:])}"
     assert got.schema == frame.schema
     assert {tuple(r) for r in got.collect()} == {(1, kept, "en", len(kept)), docs[2], docs[3]}
+
+
+@pytest.mark.parametrize("score", [quality_crf.score_quality, toxicity_kernel.score_toxicity])
+def test_samples_are_drawn_from_short_enough_texts(spark, score):
+    long = "some words of a long text. " * 1500
+    docs = [(i, long if i % 20 else f"{'good' if i % 40 else 'awful'} words in number {i} of the short texts.") for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 < 20), int(i % 40 < 20)) for i in range(400)], "doc_id long, quality int, toxic int")
+    if score is quality_crf.score_quality:
+        assert len({r.score for r in score(frame, labels, per_class=2).collect()}) > 1
+    with pytest.raises(ValueError):
+        score(frame.where("doc_id % 40 <> 0"), labels)
