@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     edges = edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct()
     edges, state = workspace.materialise(edges, "edges"), None
-    for _ in range(100):
+    while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or now[0] == 0:
             break

@@ -5,14 +5,18 @@
    shingles by rough frequency (rare first). Any function of the shingle is a valid global order; this one keeps
    passages that many documents share out of the prefixes.
 2. Two sets with Jaccard >= t share a shingle in their prefixes of n - ceil(t n) + 1 under *every* global order, and
-   l shingles in prefixes that are l - 1 longer. The first order (frequency class, then hash 1) makes the index.
-   The second (class, then hash 2, with l = n / 10) filters its candidates. Shingles that one prefix alone holds
-   join nothing: a twice-seen Bloom filter of fixed size drops them before anything is shuffled.
-3. Candidates are verified on the whole texts. In round one each holder of an index shingle meets that shingle's
-   centre only, so a group of thousands of near copies costs a few pairs a document. In round two all remaining
-   pairs that share an index shingle and lie in different components so far are verified, so no link is lost;
-   pairs already connected need no verification, and two documents whose second prefixes hold too few shingles that
-   are also in another document's second prefix cannot be a link. Components come from star contraction.
+   l shingles in prefixes that are l - 1 longer. The first order (frequency class, then hash 1) makes the index: only
+   shingles that two prefixes hold stay. The second and third orders (l = n / 10) filter its candidates, both at once.
+3. Round one compares each document with the centres of its index shingles (the two it shares most of them with), so
+   a group of thousands of near copies costs two pairs a document. Components come from star contraction.
+4. Round two looks at the shingles whose holders are still in different components.
+   a. A document that shares too few shingles of its whole set with the other open documents links with none: it goes.
+   b. The rest is compared with the centre of each open shingle. For a centre c write x = c - R + A, w = 100 |R| + p |A|.
+      Then x and y link if and only if (100 + p) (|Rx & Ry| + |Ax & Ay|) >= wx + wy - (100 - p) |c|. Both link with c
+      unless one of the two is beyond (100 - p) |c|, so beyond that the *differences* must overlap, by more than half of the lesser: a prefix
+      filter over the differences (rarest first) finds such pairs, and most of its candidates are decided inside the join.
+   c. Holders that share less than half of a centre have long differences; those meet directly, through the filters of step 2.
+   Every pair that links is in (b) or (c) for any index shingle it shares, so no link is lost.
 
 Shingles are compared as 64-bit hashes.
 """
@@ -31,12 +35,13 @@ from . import bloom, spans, workspace
 from .components import connected_components
 
 _U = np.uint64
-COUNTER_BITS = 23
-FILTER_BITS = 1 << 28
+COUNTER_BITS = 21
 ID_FILTER_BITS = 1 << 26
-SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB))
-BEFORE = 4
-SPARE = 10  # the second order's prefix is longer by one shingle in so many
+SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3))
+SPARE = 10  # prefixes under the filtering orders are longer by one shingle in so many
+CENTRES = 2
+CARRIED = 512  # a document's differences go through the join up to so many; longer ones are compared after it
+REMOVED = _U(0x5851F42D4C957F2D)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,52 +121,29 @@ def _classes(measured: DataFrame):
     return spark.sparkContext.broadcast(zlib.compress(np.maximum(0, np.log2(np.maximum(counts, 1) / base) * 2 + 1).astype(np.uint8).tobytes(), 1))
 
 
-def _lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix lengths under the first and the second order."""
-    first = n - -(-percent * n // 100) + 1
-    return np.minimum(first, n), np.minimum(first - 1 + need(n), n)
-
-
-def need(n):
-    """How many shingles the second order's prefixes must share."""
+def _need(n):
+    """How many shingles the filtering orders' prefixes must share."""
     return n // SPARE + 1
 
 
-def _past(n: str, percent: int):
-    """How many shingles of a set of n lie past its second prefix, at most: n less the second of _lengths."""
-    return F.greatest(F.floor((percent * F.col(n) + 99) / 100) - F.floor(F.col(n) / SPARE) - 1, F.lit(0))
+def _lengths(n: np.ndarray, percent: int, order: int) -> np.ndarray:
+    first = n - -(-percent * n // 100) + 1
+    return np.minimum(first, n) if order == 0 else np.minimum(first - 1 + _need(n), n)
 
 
-def _prefixes(h: np.ndarray, first: np.ndarray, classes: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Under each order, the (text, shingle) pairs in prefixes."""
+def _prefix(h: np.ndarray, first: np.ndarray, classes: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (text, shingle) pairs in prefixes under one order."""
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     rank = np.minimum(classes[(h >> _U(64 - COUNTER_BITS)).astype(np.int64)], 31).astype(_U)
-    out = []
-    full = np.flatnonzero(n)
-    for seed, length in zip(SEEDS, _lengths(n, percent), strict=True):
-        # text, class and the head of the hash in one word; equal words at a prefix's end are all taken in, so the cut is the same everywhere
-        word = (text.astype(_U) << _U(40)) | (rank << _U(35)) | (spans.mix(h ^ seed) >> _U(29))
-        order = np.argsort(word)
-        word = word[order]
-        last = np.zeros(len(n), _U)
-        last[full] = word[first[full] + length[full] - 1]
-        inside = word <= last[text]
-        out.append((text[inside], h[order][inside]))
-    return out
-
-
-def _prefix_values(classes, width: int, percent: int):
-    table: list[np.ndarray] = []
-
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        if not table:
-            table.append(np.frombuffer(zlib.decompress(classes.value), np.uint8))
-        for _, _, data, at in spans.chunked(batch.column(1)):
-            h, first = shingle_sets(data, at, width)
-            yield np.concatenate([spans.mix(p ^ seed) for (_, p), seed in zip(_prefixes(h, first, table[0], percent), SEEDS, strict=True)])
-
-    return values
+    # text, class and the head of the hash in one word; equal words at a prefix's end are all taken in, so the cut is the same everywhere
+    word = (text.astype(_U) << _U(40)) | (rank << _U(35)) | (spans.mix(h ^ SEEDS[order]) >> _U(29))
+    by = np.argsort(word)
+    word = word[by]
+    last, full = np.zeros(len(n), _U), np.flatnonzero(n)
+    last[full] = word[first[full] + _lengths(n, percent, order)[full] - 1]
+    inside = word <= last[text]
+    return text[inside], h[by][inside]
 
 
 def _lists(text: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
@@ -169,21 +151,53 @@ def _lists(text: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _index(classes, twice, width: int, percent: int):
+def _table(classes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(classes.value), np.uint8)
+
+
+def _index(classes, doubtful, width: int, percent: int):
+    """Every document's signature and first prefix, and whether its row may not be the one that stands for its set."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = words = None
         for batch in batches:
-            if words is None:
-                table, words = np.frombuffer(zlib.decompress(classes.value), np.uint8), bloom.load(twice, FILTER_BITS)
+            if table is None:
+                table, words = _table(classes), bloom.load(doubtful, ID_FILTER_BITS)
+            maybe = bloom.has(words, spans.mix(batch.column(2).to_numpy().view(_U)), ID_FILTER_BITS)
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
-                lists = []
-                for (text, p), seed in zip(_prefixes(h, first, table, percent), SEEDS, strict=True):
-                    again = bloom.has(words, spans.mix(p ^ seed), FILTER_BITS)
-                    lists.append(_lists(text[again], p[again], high - low))
                 n, s1, s2 = _signatures(h, first)
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), *lists], names=["id", "n", "s1", "s2", "p1", "p2"])
-                yield out.filter(pa.array((np.diff(lists[0].offsets.to_numpy()) > 0) & (np.diff(lists[1].offsets.to_numpy()) > 0)))
+                prefix = _lists(*_prefix(h, first, table, percent, 0), high - low)
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), pa.array(s1), pa.array(s2), pa.array(maybe[low:high]), prefix], names=["id", "n", "s1", "s2", "maybe", "p"])
+                yield out.filter(pa.array(n > 0))
+
+    return task
+
+
+def _filters(classes, width: int, percent: int):
+    """(id, n, p2, p3): prefixes under the filtering orders."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            table = _table(classes) if table is None else table
+            for low, high, data, at in spans.chunked(batch.column(1)):
+                h, first = shingle_sets(data, at, width)
+                lists = [_lists(*_prefix(h, first, table, percent, k), high - low) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(first)), *lists], names=["id", "n", "p2", "p3"])
+
+    return task
+
+
+def _set_rows(width: int):
+    """(id, h) for every shingle of a text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, at in spans.chunked(batch.column(1)):
+                h, first = shingle_sets(data, at, width)
+                text = np.repeat(np.arange(low, high), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64))], names=["id", "h"])
 
     return task
 
@@ -196,13 +210,15 @@ def _of_signature(width: int):
             for low, high, data, at in spans.chunked(batch.column(1)):
                 part = batch.slice(low, high - low)
                 _, s1, s2 = _signatures(*shingle_sets(data, at, width))
-                same = (part.column(2).to_numpy() == s1) & (part.column(3).to_numpy() == s2)
-                yield part.filter(pa.array(same)).select([0, 1])
+                same = (part.column(3).to_numpy() == s1) & (part.column(4).to_numpy() == s2)
+                yield part.filter(pa.array(same)).select([0, 1, 2])
 
     return task
 
 
-def _verify(width: int, percent: int):
+def _compare(width: int):
+    """Pairs (a, b, text of a, text of b) to (a, b, common, na, nb, difference): what a lacks of b and has beside it."""
+
     def sets(column: pa.Array) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for _, _, data, at in spans.chunked(column):
@@ -212,20 +228,71 @@ def _verify(width: int, percent: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
-                linked = []
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                common, na, nb, differences = [], [], [], []
                 for a, b in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
                     both = np.concatenate((a, b))
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    linked.append(100 * common >= percent * (len(a) + len(b) - common))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                    by = np.argsort(both)
+                    same = both[by][1:] == both[by][:-1]
+                    common.append(int(same.sum()))
+                    na.append(len(a))
+                    nb.append(len(b))
+                    alone = np.ones(len(both), bool)
+                    alone[by[1:][same]] = alone[by[:-1][same]] = False
+                    near = 2 * common[-1] >= len(b)
+                    differences.append(np.concatenate((both[: len(a)][alone[: len(a)]], spans.mix(both[len(a) :][alone[len(a) :]] ^ REMOVED))) if near else both[:0])
+                offsets = np.concatenate(([0], np.cumsum([len(d) for d in differences]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(differences).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in (common, na, nb)), lists], names=["a", "b", "common", "na", "nb", "difference"])
 
     return task
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+class _Join:
+    """The tables of one join, and what is to be deleted after it."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent, self.kind = docs, width, percent, docs.schema["id"].dataType.simpleString()
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.made.append(workspace.materialise(df, label))
+        return self.made[-1]
+
+    def texts(self, reps: DataFrame, ids: DataFrame) -> DataFrame:
+        """The texts of the given representatives. A Bloom filter of their ids keeps most other texts out of the shuffle."""
+        wanted = self.keep(reps.select(F.col("rep").alias("id"), "s1", "s2", "rows").join(ids, "id", "left_semi"), "wanted")
+        pieces = bloom.seen(wanted.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
+        likely = self.docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_maybe_wanted(pieces), f"id {self.kind}, text string")
+        found = likely.join(wanted, "id").select("id", "text", "rows", "s1", "s2").mapInArrow(_of_signature(self.width), f"id {self.kind}, text string, rows long")
+        found = self.keep(found, "texts")
+        return found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["id"])).select("id", "text")
+
+    def filtered(self, pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
+        """The pairs that share enough of their prefixes under the second and the third order."""
+        lists = self.keep(texts.mapInArrow(_filters(classes, self.width, self.percent), f"id {self.kind}, n long, p2 array<long>, p3 array<long>"), "prefixes")
+        side = lambda x: lists.select(*(F.col(c).alias(f"{c}{x}" if c != "id" else x) for c in lists.columns))
+        least = F.floor(F.least("na", "nb") / SPARE) + 1
+        sharing = (F.size(F.array_intersect("p2a", "p2b")) >= least) & (F.size(F.array_intersect("p3a", "p3b")) >= least)
+        return self.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b"), "candidates")
+
+    def compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+        shape = f"a {self.kind}, b {self.kind}, common long, na long, nb long, difference array<long>"
+        return self.keep(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(self.width), shape), "pairs")
+
+    def links(self, common, na, nb):
+        return (100 + self.percent) * common >= self.percent * (na + nb)
+
+    def close(self, na, nb):
+        return F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent
+
+    def linked(self, compared: DataFrame) -> DataFrame:
+        return compared.where(self.links(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of `percent` / 100 or more; return their components.
 
     A set holds the distinct runs of `width` words (non-white-space, A-Z lower-cased), or the whole sequence of a
@@ -237,55 +304,124 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    measured = workspace.materialise(docs.mapInArrow(_measure(width), f"kind int, id {kind}, n long, s1 long, s2 long, piece long, counts binary"), "shingles")
+    j = _Join(docs, width, percent)
+    measured = j.keep(docs.mapInArrow(_measure(width), f"kind int, id {kind}, n long, s1 long, s2 long, piece long, counts binary"), "shingles")
     rows = measured.where("kind = 0").select("id", "n", "s1", "s2")
     classes = _classes(measured)
-    sets = rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x")).select("id", "x.*")
-    reps = workspace.materialise(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "representatives")  # as a table, so that the join can split a hot group
-    copies = sets.join(reps, ["n", "s1", "s2"]).select("id", "rep").where("id <> rep")
-    twice = bloom.twice_seen(docs, _prefix_values(classes, width, percent), FILTER_BITS)
-    indexed = docs.where("id is not null").mapInArrow(_index(classes, twice, width, percent), f"id {kind}, n long, s1 long, s2 long, p1 array<long>, p2 array<long>")
-    keys = reps.withColumnRenamed("rep", "id")
-    held = workspace.materialise(indexed.join(keys, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "s1", "s2", "p1", "p2"), "prefixes")
-
-    # the share of a document's prefixes that other documents may have: highest for the source of a group of edited copies
-    entries = held.select("id", "n", ((F.size("p1") + F.size("p2")) / F.col("n")).alias("share"), F.explode("p1").alias("token"))
-    # round one: each shingle's centre is its holder of the highest share
-    rank = F.struct((-F.round("share", 3)).cast("float").alias("by"), "id", F.col("n").cast("int").alias("n"))
-    centres = entries.groupBy("token").agg(F.min(rank).alias("c"), F.count(F.lit(1)).cast("int").alias("holders")).where("holders > 1").select("token", F.col("c.id").alias("b"), F.col("c.n").alias("nb"))
-    shared = workspace.materialise(entries.select("token", "id", F.col("n").cast("int").alias("n")).join(centres, "token"), "index")
-    near = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent
-    stars = shared.where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    first = _checked(stars, held, docs, width, percent)
-    groups = workspace.materialise(connected_components(first.where("linked"), "a", "b"), "groups")
-    # round two: pairs of holders that are still in different components
-    placed = shared.select("id", "n", "token").join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "token", F.coalesce("component", "id").alias("component"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    # with each open shingle go the few open ones before it in its document, so that most pairs leave the join only once
-    by_id = placed.join(open_tokens, "token", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.array_sort(F.collect_list("token")).alias("tokens"))
-    # s: a document's shingles that second prefixes of others may hold
-    spread = by_id.join(held.select("id", F.size("p2").alias("s")), "id").select("id", "n", "component", "s", "tokens", F.posexplode("tokens").alias("pos", "token"))
-    before = F.slice("tokens", F.greatest(F.col("pos") - (BEFORE - 1), F.lit(1)), F.least("pos", F.lit(BEFORE)))
-    opened = workspace.materialise(spread.select("token", "id", "n", "component", "s", before.alias("before")), "open")
-    left, right = opened, opened.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("before").alias("bb"))
-    # of what a pair shares, at most the smaller s is in both second prefixes; the rest is all past the end of one of them
-    reachable = (100 + percent) * (F.least("s", "sb") + F.greatest(_past("n", percent), _past("nb", percent))) >= percent * (F.col("n") + F.col("nb"))
-    # the first shingle that a pair shares has no shared one before it
-    early = ~F.arrays_overlap("before", "bb")
-    met = left.join(right, "token").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & reachable & early)
-    rest = met.select(F.col("id").alias("a"), "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = _checked(rest, held, docs, width, percent)
-    if second.where("linked").limit(1).count():
-        groups = connected_components(first.unionAll(second).where("linked"), "a", "b")
+    sets = j.keep(rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.count(F.lit(1)).alias("rows")).select("id", "x.*", "rows"), "sets")
+    reps = j.keep(sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "rows")).alias("x")).select("n", "s1", "s2", F.col("x.id").alias("rep"), "x.rows"), "representatives")  # as a table, so that the join can split a hot group
+    owned = j.keep(sets.join(reps.drop("rows"), ["n", "s1", "s2"]).where("id <> rep or rows > 1").select("id", "rep"), "copies")
+    doubtful = bloom.seen(owned.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
+    indexed = docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_index(classes, doubtful, width, percent), f"id {kind}, n long, s1 long, s2 long, maybe boolean, p array<long>")
+    indexed = j.keep(indexed, "prefixes")
+    key = ["id", "n", "s1", "s2"]
+    settled = indexed.where("maybe").join(reps.withColumnRenamed("rep", "id"), key, "left_semi").dropDuplicates(key)
+    entries = indexed.where("not maybe").unionByName(settled).select("id", F.col("n").cast("int").alias("n"), F.explode("p").alias("token"))
+    again = j.keep(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "tokens")
+    shared = j.keep(entries.join(again, "token"), "index")
+
+    # round one: a shingle's centre is the holder with the highest share of index shingles, as the source of edited copies is
+    share = shared.groupBy("id").agg((-F.round(F.count(F.lit(1)) / F.first("n"), 3)).cast("float").alias("by"))
+    starred = _starred(j, shared.join(share, "id"), "by")
+    with_most = starred.where(j.close(F.col("n"), F.col("nc"))).groupBy("id", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "c")), asc=False), 1, CENTRES).alias("best"))
+    pairs = with_most.select(F.col("id").alias("a"), F.explode("best.c").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = j.keep(pairs, "stars")
+    texts = j.texts(reps, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
+    edges = j.linked(j.compared(j.filtered(pairs, texts, classes), texts))
+    groups = j.keep(connected_components(edges, "a", "b"), "groups")
+
+    second = _round_two(j, shared, reps, groups, classes)
+    if second is not None and not second.isEmpty():
+        groups = j.keep(connected_components(edges.unionAll(second), "a", "b"), "groups")
+    copies = owned.where("id <> rep")
     whole = copies.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     placed_ids = whole.unionAll(groups.select(F.col("node").alias("id"), "component")).withColumnRenamed("id", "own")
     result = rows.join(placed_ids, rows["id"] == placed_ids["own"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     result = workspace.materialise(result, "components")
-    for done in (measured, reps, held, shared, first, opened, second):
+    for done in j.made:
         workspace.drop(done)
     return result
 
 
+def _starred(j: _Join, held: DataFrame, by: str) -> DataFrame:
+    """Index rows (token, id, n, ...) with their shingle's centre, the holder of least `by` and id; not the centre's own."""
+    held = j.keep(held, "ranked")
+    centres = held.groupBy("token").agg(F.min(F.struct(by, "id", "n")).alias("x")).select("token", F.col("x.id").alias("c"), F.col("x.n").alias("nc"))
+    centres = j.keep(centres, "centres")  # as a table, so that the join can split a hot shingle
+    return held.join(centres, "token").where("id <> c")
+
+
+def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame, classes) -> DataFrame | None:
+    """Links between documents that share an index shingle and are in different components so far."""
+    p = j.percent
+    placed = j.keep(shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    placed = _open(j, placed)
+    alive = placed.groupBy("id").agg(F.first("n").alias("n"))
+    texts = j.texts(reps, alive.select("id"))
+    rows = j.keep(texts.mapInArrow(_set_rows(j.width), f"id {j.kind}, h long"), "sets")
+    left = None
+    while True:
+        again = j.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "again")
+        common = rows.join(again, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+        least = p * (F.col("n") + F.ceil(F.col("n") * p / 100))
+        reach = j.keep(alive.join(common, "id").where((100 + p) * F.col("s") >= least).select("id", (-F.round(F.col("s") / F.col("n"), 3)).cast("float").alias("by")), "reach")
+        was, left = left, reach.count()
+        placed = _open(j, placed.join(reach.select("id"), "id", "left_semi"))
+        alive = placed.groupBy("id").agg(F.first("n").alias("n"))
+        if not left:
+            return None
+        if was is not None and left * 4 > was * 3:  # another round would drop less than a quarter
+            break
+        rows = j.keep(rows.join(alive, "id", "left_semi").select("id", "h"), "sets")
+    starred = j.keep(_starred(j, placed.join(reach, "id"), "by"), "open")
+    stars = j.compared(starred.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), texts)
+    component = placed.groupBy("id").agg(F.first("component").alias("component"))
+    alone, missing = F.col("na") - F.col("common"), F.col("nb") - F.col("common")
+    stars = stars.withColumns({"w": 100 * missing + p * alone, "free": (100 - p) * F.col("nb")})
+    found = j.linked(stars).unionAll(_by_difference(j, stars.where("2 * common >= nb"), component, texts)).distinct()
+    # less than half of the centre, or so little more that the other of a pair may have less
+    far = stars.where(100 * F.col("common") < 50 * F.col("nb") + (100 - p) * F.col("na")).select(F.col("a").alias("id"), F.col("b").alias("c"), "common")
+    rest = j.keep(starred.select("token", "id", "n", "c").join(far, ["id", "c"]).join(component, "id"), "far")
+    one, other = rest, rest.select("token", *(F.col(x).alias(f"{x}_") for x in ("id", "n", "component", "common")))
+    most = F.least("common", "common_") + F.least(F.col("n") - F.col("common"), F.col("n_") - F.col("common_"))
+    met = one.join(other, "token").where((F.col("id") < F.col("id_")) & (F.col("component") != F.col("component_")) & j.close(F.col("n"), F.col("n_")) & j.links(most, F.col("n"), F.col("n_")))
+    direct = j.keep(met.select(F.col("id").alias("a"), F.col("id_").alias("b")).distinct(), "direct")
+    checked = j.compared(j.filtered(direct, texts, classes), texts)
+    return j.keep(found.unionAll(j.linked(checked)), "links")
+
+
+def _open(j: _Join, placed: DataFrame) -> DataFrame:
+    """The rows of shingles that documents of two components, or more, hold."""
+    tokens = j.keep(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
+    return j.keep(placed.join(tokens, "token", "left_semi"), "placed")
+
+
+def _by_difference(j: _Join, stars: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among the documents around each centre of which one at least does not link with the centre."""
+    p = j.percent
+    beyond = F.col("w") > F.col("free")
+    # what the differences must share: with any other if this one is beyond the centre's reach, and with one that is beyond
+    with_any = F.greatest(F.ceil((F.col("w") - F.col("free")) / 100), F.lit(1))
+    with_beyond = F.floor(F.col("w") / (100 + p)) + 1
+    least = F.when(beyond, F.least(with_any, with_beyond)).otherwise(with_beyond)
+    docs = stars.select(F.col("b").alias("c"), F.col("a").alias("id"), "w", "free", beyond.alias("beyond"), F.size("difference").alias("size"), (F.size("difference") - least + 1).alias("length"), "difference").where("length > 0")
+    rows = j.keep(docs.select("c", "id", F.explode("difference").alias("e")), "differences")
+    counts = j.keep(rows.groupBy("c", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "counts")
+    kept = rows.join(counts, ["c", "e"]).groupBy("c", "id").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("x"))
+    # elements that one document alone has come first in the order; they fill the prefix and meet nothing
+    known = docs.drop("difference").join(kept, ["c", "id"]).join(component, "id").withColumn("length", F.col("length") - (F.col("size") - F.size("x"))).where("length > 0")
+    elements = F.transform("x", lambda v: v["e"])
+    known = known.select("c", "id", "w", "free", "beyond", "component", "size", F.when(F.size("x") <= CARRIED, elements).alias("all"), F.slice(elements, F.lit(1), F.greatest(F.least("length", F.size("x")), F.lit(0)).cast("int")).alias("prefix"))
+    spread = j.keep(known.select("c", "id", "w", "free", "beyond", "component", "size", "all", F.explode("prefix").alias("e")), "prefixes")
+    other = spread.select("c", "e", *(F.col(x).alias(f"{x}_") for x in ("id", "w", "beyond", "component", "size", "all")))
+    most = F.coalesce(F.size(F.array_intersect("all", "all_")), F.least("size", "size_"))
+    enough = (100 + p) * most >= F.col("w") + F.col("w_") - F.col("free")
+    once = ~F.col("beyond_") | (F.col("id") < F.col("id_"))
+    met = spread.where("beyond").join(other, ["c", "e"]).where((F.col("id") != F.col("id_")) & (F.col("component") != F.col("component_")) & once & enough)
+    pairs = j.keep(met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "pairs")
+    return j.linked(j.compared(pairs, texts))
+
+
 def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield spans.mix(batch.column(0).to_numpy().view(_U))
 
@@ -298,28 +434,3 @@ def _maybe_wanted(pieces):
             yield batch.filter(pa.array(bloom.has(words, spans.mix(batch.column(2).to_numpy().view(_U)), ID_FILTER_BITS))).select([0, 1])
 
     return task
-
-
-def _texts(docs: DataFrame, held: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The texts of the given representatives. A Bloom filter of their ids keeps most other texts out of the shuffle."""
-    kind = held.schema["id"].dataType.simpleString()
-    wanted = workspace.materialise(held.select("id", "s1", "s2").join(ids, "id", "left_semi"), "wanted")
-    pieces = bloom.seen(wanted.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
-    likely = docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_maybe_wanted(pieces), f"id {kind}, text string")
-    texts = likely.join(wanted, "id").select("id", "text", "s1", "s2").mapInArrow(_of_signature(width), f"id {kind}, text string")
-    return workspace.materialise(texts, "texts")
-
-
-def _checked(pairs: DataFrame, held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidates that also share enough of the second order's prefixes, with the verdict of a full comparison."""
-    kind = held.schema["id"].dataType.simpleString()
-    side = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p2").alias(f"p{x}"))
-    sharing = F.size(F.array_intersect("pa", "pb")) > F.floor(F.least("na", "nb") / SPARE)
-    passed = workspace.materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b"), "candidates")
-    texts = _texts(docs, held, passed.select(F.col("a").alias("id")).unionAll(passed.select("b")).distinct(), width)
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
-    checked = passed.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), f"a {kind}, b {kind}, linked boolean")
-    checked = workspace.materialise(checked, "pairs")
-    workspace.drop(passed)
-    workspace.drop(texts)
-    return checked

@@ -136,7 +136,7 @@ def test_links_of_unequal_sizes_around_third_documents(spark):
 
     def ranks(shingles):
         h, _ = ngram_join.shingle_sets(*spans.text_buffers(pa.array(shingles)), 4)
-        return [spans.mix(h ^ seed) for seed in ngram_join.SEEDS]
+        return [spans.mix(h ^ seed) for seed in ngram_join.SEEDS[:2]]
 
     docs = []
     for g in range(12):
