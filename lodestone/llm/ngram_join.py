@@ -10,7 +10,8 @@
 3. Round one compares each document with the centres of its index shingles (the two it shares most of them with), so
    a group of thousands of near copies costs two pairs a document. Components come from star contraction.
 4. Round two looks at the shingles whose holders are still in different components.
-   a. A document that shares too few shingles of its whole set with the other open documents links with none: it goes.
+   a. A document of which too many shingles are in no other open document links with none: it goes. A quarter of the shingles tells
+      for most, then all of them for the rest.
    b. The rest is compared with the centre of each open shingle. For a centre c write x = c - R + A, w = 100 |R| + p |A|.
       Then x and y link if and only if (100 + p) (|Rx & Ry| + |Ax & Ay|) >= wx + wy - (100 - p) |c|. Both link with c
       unless one of the two is beyond (100 - p) |c|, so beyond that the *differences* must overlap, by more than half of the lesser: a prefix
@@ -40,6 +41,7 @@ ID_FILTER_BITS = 1 << 26
 SEEDS = (_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3))
 SPARE = 10  # prefixes under the filtering orders are longer by one shingle in so many
 CENTRES = 2
+SAMPLES = (4, 1)  # of the open documents' shingles one in so many is counted, on ever fewer documents
 CARRIED = 512  # a document's differences go through the join up to so many; longer ones are compared after it
 REMOVED = _U(0x5851F42D4C957F2D)
 
@@ -163,7 +165,7 @@ def _index(classes, doubtful, width: int, percent: int):
         for batch in batches:
             if table is None:
                 table, words = _table(classes), bloom.load(doubtful, ID_FILTER_BITS)
-            maybe = bloom.has(words, spans.mix(batch.column(2).to_numpy().view(_U)), ID_FILTER_BITS)
+            maybe = bloom.has(words, bloom.mixed(batch.column(2)), ID_FILTER_BITS)
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
                 n, s1, s2 = _signatures(h, first)
@@ -189,15 +191,16 @@ def _filters(classes, width: int, percent: int):
     return task
 
 
-def _set_rows(width: int):
-    """(id, h) for every shingle of a text."""
+def _set_rows(width: int, one_in: int):
+    """(id, h) for one in so many shingles, by hash."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
                 text = np.repeat(np.arange(low, high), np.diff(first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(h.view(np.int64))], names=["id", "h"])
+                some = spans.mix(h ^ REMOVED) & _U(one_in - 1) == 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[some])), pa.array(h[some].view(np.int64))], names=["id", "h"])
 
     return task
 
@@ -260,12 +263,20 @@ class _Join:
         self.made.append(workspace.materialise(df, label))
         return self.made[-1]
 
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.made.remove(df)
+            workspace.drop(df)
+
+    def likely(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the rows that may have one of some ids, by a Bloom filter."""
+        pieces = bloom.seen(ids.select(F.xxhash64("id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
+        return bloom.split(self.docs.where("id is not null"), F.xxhash64("id"), pieces, ID_FILTER_BITS)[1]
+
     def texts(self, reps: DataFrame, ids: DataFrame) -> DataFrame:
         """The texts of the given representatives. A Bloom filter of their ids keeps most other texts out of the shuffle."""
         wanted = self.keep(reps.select(F.col("rep").alias("id"), "s1", "s2", "rows").join(ids, "id", "left_semi"), "wanted")
-        pieces = bloom.seen(wanted.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
-        likely = self.docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_maybe_wanted(pieces), f"id {self.kind}, text string")
-        found = likely.join(wanted, "id").select("id", "text", "rows", "s1", "s2").mapInArrow(_of_signature(self.width), f"id {self.kind}, text string, rows long")
+        found = self.likely(wanted).join(wanted, "id").select("id", "text", "rows", "s1", "s2").mapInArrow(_of_signature(self.width), f"id {self.kind}, text string, rows long")
         found = self.keep(found, "texts")
         return found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["id"])).select("id", "text")
 
@@ -311,7 +322,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     sets = j.keep(rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.count(F.lit(1)).alias("rows")).select("id", "x.*", "rows"), "sets")
     reps = j.keep(sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "rows")).alias("x")).select("n", "s1", "s2", F.col("x.id").alias("rep"), "x.rows"), "representatives")  # as a table, so that the join can split a hot group
     owned = j.keep(sets.join(reps.drop("rows"), ["n", "s1", "s2"]).where("id <> rep or rows > 1").select("id", "rep"), "copies")
-    doubtful = bloom.seen(owned.select(F.xxhash64("id").alias("h")), _id_hashes, ID_FILTER_BITS)
+    doubtful = bloom.seen(owned.select(F.xxhash64("id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
     indexed = docs.where("id is not null").withColumn("h", F.xxhash64("id")).mapInArrow(_index(classes, doubtful, width, percent), f"id {kind}, n long, s1 long, s2 long, maybe boolean, p array<long>")
     indexed = j.keep(indexed, "prefixes")
     key = ["id", "n", "s1", "s2"]
@@ -319,6 +330,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     entries = indexed.where("not maybe").unionByName(settled).select("id", F.col("n").cast("int").alias("n"), F.explode("p").alias("token"))
     again = j.keep(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "tokens")
     shared = j.keep(entries.join(again, "token"), "index")
+    j.drop(again, indexed)
 
     # round one: a shingle's centre is the holder with the highest share of index shingles, as the source of edited copies is
     share = shared.groupBy("id").agg((-F.round(F.count(F.lit(1)) / F.first("n"), 3)).cast("float").alias("by"))
@@ -356,23 +368,23 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     p = j.percent
     placed = j.keep(shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
     placed = _open(j, placed)
-    alive = placed.groupBy("id").agg(F.first("n").alias("n"))
-    texts = j.texts(reps, alive.select("id"))
-    rows = j.keep(texts.mapInArrow(_set_rows(j.width), f"id {j.kind}, h long"), "sets")
-    left = None
-    while True:
-        again = j.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "again")
-        common = rows.join(again, "h").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
-        least = p * (F.col("n") + F.ceil(F.col("n") * p / 100))
-        reach = j.keep(alive.join(common, "id").where((100 + p) * F.col("s") >= least).select("id", (-F.round(F.col("s") / F.col("n"), 3)).cast("float").alias("by")), "reach")
-        was, left = left, reach.count()
+    holders = placed.select("id").distinct().join(reps.select(F.col("rep").alias("id"), "n", "rows"), "id")
+    holders = j.keep(holders, "holders")
+    likely = j.likely(holders).mapInArrow(_set_rows(j.width, SAMPLES[0]), f"id {j.kind}, h long")
+    # a repeated id may have shingles of another of its texts here, so it stays for now
+    reach = _reaching(j, holders, likely, F.col("rows") > 1)
+    texts = None
+    for one_in in SAMPLES[1:]:
         placed = _open(j, placed.join(reach.select("id"), "id", "left_semi"))
-        alive = placed.groupBy("id").agg(F.first("n").alias("n"))
-        if not left:
+        holders = j.keep(holders.join(placed.select("id").distinct(), "id", "left_semi"), "holders")
+        if holders.isEmpty():
             return None
-        if was is not None and left * 4 > was * 3:  # another round would drop less than a quarter
-            break
-        rows = j.keep(rows.join(alive, "id", "left_semi").select("id", "h"), "sets")
+        texts = texts or j.texts(reps, holders.select("id"))
+        rows = texts.join(holders.select("id"), "id", "left_semi").mapInArrow(_set_rows(j.width, one_in), f"id {j.kind}, h long")
+        reach = _reaching(j, holders, rows, F.lit(False))
+    placed = _open(j, placed.join(reach.select("id"), "id", "left_semi"))
+    if placed.isEmpty():
+        return None
     starred = j.keep(_starred(j, placed.join(reach, "id"), "by"), "open")
     stars = j.compared(starred.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), texts)
     component = placed.groupBy("id").agg(F.first("component").alias("component"))
@@ -390,6 +402,15 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     return j.keep(found.unionAll(j.linked(checked)), "links")
 
 
+def _reaching(j: _Join, holders: DataFrame, rows: DataFrame, spared) -> DataFrame:
+    """(id, by) of the documents of which enough shingles may be in another's set: no pair shares more than a set less those that it alone has."""
+    p = j.percent
+    alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    at_most = F.col("n") - F.coalesce("u", F.lit(0))
+    enough = (100 + p) * at_most >= p * (F.col("n") + F.ceil(F.col("n") * p / 100))
+    return j.keep(holders.join(alone, "id", "left").where(enough | spared).select("id", (-F.round(at_most / F.col("n"), 3)).cast("float").alias("by")), "reach")
+
+
 def _open(j: _Join, placed: DataFrame) -> DataFrame:
     """The rows of shingles that documents of two components, or more, hold."""
     tokens = j.keep(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
@@ -420,17 +441,3 @@ def _by_difference(j: _Join, stars: DataFrame, component: DataFrame, texts: Data
     met = spread.where("beyond").join(other, ["c", "e"]).where((F.col("id") != F.col("id_")) & (F.col("component") != F.col("component_")) & once & enough)
     pairs = j.keep(met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "pairs")
     return j.linked(j.compared(pairs, texts))
-
-
-def _id_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield spans.mix(batch.column(0).to_numpy().view(_U))
-
-
-def _maybe_wanted(pieces):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
-        for batch in batches:
-            words = bloom.load(pieces, ID_FILTER_BITS) if words is None else words
-            yield batch.filter(pa.array(bloom.has(words, spans.mix(batch.column(2).to_numpy().view(_U)), ID_FILTER_BITS))).select([0, 1])
-
-    return task
