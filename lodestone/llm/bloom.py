@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from . import spans
 
 PIECE = 1 << 16
 _U = np.uint64
@@ -103,3 +105,29 @@ def load(pieces, bits: int) -> np.ndarray:
     for k, piece in pieces.value:
         words[k : k + PIECE] = np.frombuffer(zlib.decompress(piece), np.uint8)
     return words
+
+
+def key_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """For tables of one column of 64-bit hashes."""
+    yield mixed(batch.column(0))
+
+
+def mixed(column: pa.Array) -> np.ndarray:
+    return spans.mix(column.to_numpy().view(_U))
+
+
+def split(df: DataFrame, key: Column, pieces, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key hash is surely not in a filter of key_hashes(), and those whose may be; both in the columns of `df`."""
+    tagged = df.select("*", key.alias("key hash"))
+
+    def rows(wanted: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = None
+            for batch in batches:
+                words = load(pieces, bits) if words is None else words
+                last = batch.num_columns - 1
+                yield batch.filter(pa.array(has(words, mixed(batch.column(last)), bits) == wanted)).select(range(last))
+
+        return tagged.mapInArrow(task, df.schema)
+
+    return rows(False), rows(True)

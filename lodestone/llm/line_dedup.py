@@ -5,7 +5,7 @@
    have seen are in both `once` filters, so `twice` misses no repeated line; it may only suspect too many.
 2. Only suspected lines are shuffled, as SHA-256 keys, and counted exactly by distinct documents. Partial sums
    are made before the shuffle, so a line that a third of the corpus holds costs one row a task.
-3. Each document gets the list of its own keys to drop and is rewritten.
+3. Each document gets the list of its own keys to drop and is rewritten; only documents that may lose a line are shuffled.
 
 The filters have a fixed size (`bits`), whatever the input: what is broadcast does not grow. More input fills
 them and lets more lines through as suspects; the exact count still decides.
@@ -22,7 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom, spans
+from . import bloom, spans, workspace
+
+ID_FILTER_BITS = 1 << 26
 
 
 def _line_keys(data: np.ndarray, at: np.ndarray):
@@ -115,13 +117,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = bloom.twice_seen(docs, _line_hashes, bits)
     suspects = docs.mapInArrow(_suspects(pieces, bits), f"id {kind}, key binary, line long")
-    in_docs = suspects.groupBy("key", "id").agg(F.min("line").alias("line"))
+    in_docs = workspace.materialise(suspects.groupBy("key", "id").agg(F.min("line").alias("line")), "suspects")
     least = F.min(F.struct("id", "line")).alias("least") if keep == "first" else F.lit(None).cast(f"struct<id:{kind},line:bigint>").alias("least")
     frequent = in_docs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *([least] if keep == "first" else [])).where(F.col("n") >= min_docs)
     if keep != "first":
         frequent = frequent.withColumn("least", least)
     spare = F.when(F.col("least.id").eqNullSafe(F.col("id")) & F.col("least.line").isNotNull(), F.col("least.line")).otherwise(F.lit(-1))
-    drops = in_docs.join(frequent.select("key", "least"), "key").groupBy("id").agg(F.collect_list(F.struct("key", spare.alias("keep"))).alias("drops"))
-    drops = drops.withColumnRenamed("id", "drop_id")
-    joined = docs.join(drops, docs["id"].eqNullSafe(drops["drop_id"]), "left").select("id", "text", "drops")
-    return joined.mapInArrow(_rewrite, f"id {kind}, text string, n_lines long, n_dropped long").withColumnRenamed("id", id_col)
+    frequent = workspace.materialise(frequent.select("key", "least"), "frequent")  # as a table, so that the join can split a hot line's rows
+    drops = in_docs.join(frequent, "key").groupBy("id").agg(F.collect_list(F.struct("key", spare.alias("keep"))).alias("drops"))
+    drops = workspace.materialise(drops.withColumnRenamed("id", "drop_id"), "drops")
+    touched = bloom.seen(drops.select(F.xxhash64("drop_id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
+    sure, maybe = bloom.split(docs, F.xxhash64("id"), touched, ID_FILTER_BITS)
+    joined = maybe.join(drops, maybe["id"].eqNullSafe(drops["drop_id"]), "left").select("id", "text", "drops")
+    kept = sure.select("id", "text", F.lit(None).cast(joined.schema["drops"].dataType).alias("drops"))
+    rewrite = lambda df: df.mapInArrow(_rewrite, f"id {kind}, text string, n_lines long, n_dropped long")
+    return rewrite(kept).unionByName(rewrite(joined)).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
