@@ -9,41 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, mixing, ngram_join, quality_crf, training_order
+from lodestone.llm import bloom, decontaminate, mixing, ngram_join, quality_crf, training_order
 from lodestone.llm.queries import MIX
 from lodestone.llm.workspace import materialise, new_path, table
 
+ID_FILTER_BITS = 1 << 26
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier rejects go."""
+    """Rows that the line classifier rejects go. A null or empty text is one empty line and is judged as that; ids, repeated or null, play no part."""
     return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share four fifths of their five-word shingles are linked. Of each group the one with the smallest id stays; rows that repeat an id stay or go together."""
+    """Documents that share four fifths of their five-word shingles are linked. Of each group the one with the smallest id stays.
+
+    Rows that repeat an id stay or go together; rows with a null id, a null text or no word link with nothing and stay.
+    """
     groups = ngram_join.ngram_jaccard_components(docs, width=5, percent=80)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    pieces = bloom.seen(gone.select(F.xxhash64("doc_id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
+    sure, maybe = bloom.split(docs, F.xxhash64("doc_id"), pieces, ID_FILTER_BITS)  # only rows that may go are shuffled
+    return sure.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word in twenty, or more, inside benchmark windows go; the others lose the words inside such windows."""
+    """Rows with a word in twenty, or more, inside benchmark windows go; the others lose the words inside such windows.
+
+    Each row is judged by its own text, whatever its id (also if null or repeated). A null text has no words and stays.
+    """
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
-    found = materialise(decontaminate.scan_benchmark(rows, table(spark, sf_dir, "benchmark"), id_col="row", cut=True), "scanned")
-    gone = materialise(found.where(decontaminate.contaminated()).select("row.doc_id").distinct(), "leaks")
-    new = {c: F.col(f"row.{c}") for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    found = decontaminate.scan_benchmark(rows, table(spark, sf_dir, "benchmark"), id_col="row", cut=True).where(~decontaminate.contaminated())
+    new = {c: F.col("row")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
     if "n_chars" in new:
         new["n_chars"] = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
-    return found.select(*[new[c].alias(c) for c in docs.columns]).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return found.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat or go so that languages hold their shares of the tokens."""
+    """Rows repeat or go so that languages hold their shares of the tokens. Rows without tokens take their cell's rate; rows of one id and text repeat alike."""
     return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), MIX)
 
 
 def training(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in training order, in shards; the index of all sequences."""
+    """Token sequences in training order, in shards; the index of all sequences. Every row counts; a null or empty text is one sequence of an end mark."""
     return training_order.write_training_order(docs, new_path(spark, "shards"))
 
 
