@@ -52,6 +52,16 @@ def normal_severity(c: Column) -> Column:
     return F.when(c.isin("fail", "warn", "pass"), c).otherwise("warn")
 
 
+def normal_confidence(c: Column) -> Column:
+    return F.when(F.lower(c).isin("high", "medium", "low"), F.lower(c)).otherwise("")
+
+
+def kept_after_triage(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Findings whose last verdict (fingerprint, verdict, at) is not to dismiss them; a finding without a verdict stays."""
+    last = verdicts.groupBy("fingerprint").agg(F.max_by("verdict", "at").alias("verdict"))
+    return findings.join(last.where("verdict = 'dismiss'").select("fingerprint"), "fingerprint", "left_anti").select(*findings.columns)
+
+
 def fingerprint(*parts: str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.col(p).cast("string") for p in parts)), 256)
 
@@ -62,11 +72,38 @@ def enrich(hits: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.select("rule_id", normal_severity(F.coalesce("default_level", F.lit("warn"))).alias("severity"), "section", "path", "line", "message", fingerprint("rule_id", "path", "line", "message").alias("fingerprint"))
 
 
-def context_fingerprint(lines: DataFrame) -> DataFrame:
-    """Hash of the two lines before to the two after, white space collapsed: survives moves within a file."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2)
-    flat = F.trim(F.regexp_replace("line_text", "[ \\t]+", " "))
-    return lines.select("path", "line", F.sha2(F.concat_ws("|", "path", F.concat_ws("\n", F.collect_list(flat).over(w))), 256).alias("context_fingerprint"))
+def _around(lines: Column, at: Column, before: int, after: int) -> Column:
+    """The elements of an array from `before` places before a place (from 0) to `after` after it."""
+    low = F.greatest(at - before, F.lit(0))
+    return F.slice(lines, low + 1, at + after + 1 - low)
+
+
+def context_fingerprint(files: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
+    """(path, line, window): the two lines before to the two after, white space collapsed. Windows are cut from the split text: no shuffle."""
+    flat = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t]+", " ")))
+    windows = files.select("path", flat.alias("l")).select("path", F.posexplode(F.transform("l", lambda x, i: F.array_join(_around(F.col("l"), i, before, after), "\n"))).alias("pos", "window"))
+    return windows.select("path", (F.col("pos") + 1).alias("line"), "window")
+
+
+def with_context(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with their context fingerprint, the hash of rule, path and window; without a line or a source it is the fingerprint itself.
+
+    Only the windows of lines with a finding are made: the lines of a path's findings go to its text, and not the text to them.
+    """
+    flat = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t]+", " ")))
+    wanted = findings.where("line > 0").groupBy("path").agg(F.collect_set("line").alias("wanted"))
+    cut = files.select("path", "text").join(wanted, "path").select("path", flat.alias("l"), F.explode("wanted").alias("line"))
+    windows = cut.where(F.col("line") <= F.size("l")).select("path", "line", F.array_join(_around(F.col("l"), F.col("line") - 1, 2, 2), "\n").alias("window"))
+    made = F.sha2(F.concat_ws("|", "rule_id", "path", "window"), 256)
+    joined = findings.join(windows, ["path", "line"], "left")
+    return joined.select(*findings.columns, F.when(F.col("window").isNotNull(), made).otherwise(F.col("fingerprint")).alias("context_fingerprint"))
+
+
+def snippets(findings: DataFrame, files: DataFrame, before: int = 4, after: int = 3) -> DataFrame:
+    """(rule_id, path, line, snippet): numbered lines around each finding."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x))
+    joined = findings.where("line > 0").select("rule_id", "path", "line").join(files.select("path", numbered.alias("l")), "path")
+    return joined.where(F.col("line") <= F.size("l")).select("rule_id", "path", "line", F.array_join(_around(F.col("l"), F.col("line") - 1, before, after), "\n").alias("snippet"))
 
 
 def in_scope(findings: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -77,7 +114,11 @@ def in_scope(findings: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def without_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    return findings.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    """Findings that no baseline entry knows, by the fingerprint or, where both sides have one, the context fingerprint. Two equi-joins, no OR."""
+    left = findings.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    if "context_fingerprint" in findings.columns and "context_fingerprint" in baseline.columns:
+        left = left.join(baseline.select("context_fingerprint").where("context_fingerprint is not null").distinct(), "context_fingerprint", "left_anti")
+    return left.select(*findings.columns)
 
 
 def waived_by(findings: DataFrame, waivers: list[tuple[int, str, str, str | None]], today: str) -> Column:
@@ -93,9 +134,10 @@ def inline_directives(lines: DataFrame, marker: str) -> DataFrame:
 
 
 def without_inline(findings: DataFrame, directives: DataFrame) -> DataFrame:
-    """A directive covers its own line and the next; both lines become keys, so the join is an equi-join."""
-    keys = directives.select("path", F.explode(F.array("d_line", F.col("d_line") + 1)).alias("line")).distinct()
-    return findings.join(keys, ["path", "line"], "left_anti")
+    """A directive covers its own line, the next, and findings on the whole file (line 0 or none); all become keys, so the join is an equi-join."""
+    keys = directives.select("path", F.explode(F.array("d_line", F.col("d_line") + 1, F.lit(0))).alias("at")).distinct()
+    keyed = findings.withColumn("at", F.greatest(F.coalesce(F.col("line"), F.lit(0)), F.lit(0)))
+    return keyed.join(keys, ["path", "at"], "left_anti").select(*findings.columns)
 
 
 def section_summary(findings: DataFrame) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries. Importing this package registers all of them."""
 
-from . import graphs, measures, scans, tables  # noqa: F401
+from . import extended, graphs, measures, scans, tables  # noqa: F401

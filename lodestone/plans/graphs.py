@@ -30,12 +30,22 @@ def god_modules(spark: SparkSession, sf: str) -> DataFrame:
     return graph.fans(edges(spark, sf)).select("node", (F.col("fan_in") + F.col("fan_out")).alias("degree")).where("degree >= 3")
 
 
-@query("stability_direction", f"""WITH {EDGES}, n AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e), s AS (SELECT node, round(sum(o) / (sum(i) + sum(o)), 6) AS ins FROM n GROUP BY node)
-SELECT src, dst FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst WHERE b.ins > a.ins""")
+LAYERED = """e AS (SELECT DISTINCT 300 + l_suppkey % 20 AS src, l_partkey % 5 AS dst FROM lineitem UNION SELECT DISTINCT l_partkey % 5, 100 + l_orderkey % 7 FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 100 + l_orderkey % 7, 200 + l_partkey % 30 FROM lineitem)"""
+
+
+def layered_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Many modules over a few hubs, over a middle layer that itself imports much."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    hub, middle = F.col("l_partkey") % 5, 100 + F.col("l_orderkey") % 7
+    top = li.select((300 + F.col("l_suppkey") % 20).alias("src"), hub.alias("dst"))
+    return top.union(li.where("l_linenumber = 1").select(hub, middle)).union(li.select(middle, 200 + F.col("l_partkey") % 30)).distinct()
+
+
+@query("stability_direction", f"""WITH {LAYERED}, n AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e), s AS (SELECT node, sum(i) AS fi, round(sum(o) / (sum(i) + sum(o)), 6) AS ins FROM n GROUP BY node)
+SELECT src, dst, round(b.ins - a.ins, 6) AS delta FROM e JOIN s a ON a.node = src JOIN s b ON b.node = dst WHERE a.fi >= 3 AND b.ins - a.ins > 0.35""")
 def stability_direction(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    ins = graph.fans(e).select("node", "instability")
-    return e.join(ins.toDF("src", "a"), "src").join(ins.toDF("dst", "b"), "dst").where("b > a").select("src", "dst")
+    """Modules that many depend on and that import much less stable ones, by the limits' defaults."""
+    return graph.unstable_dependencies(layered_edges(spark, sf))
 
 
 @query("transitive_dependents", REACH + "SELECT dst AS node, count(DISTINCT src) AS dependents FROM r GROUP BY dst")
@@ -45,7 +55,8 @@ def transitive_dependents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("change_impact", REACH + "SELECT dst AS changed, src AS affected FROM r WHERE dst % 10 = 0 AND src <> dst")
 def change_impact(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(edges(spark, sf)).where("dst % 10 = 0 and src <> dst").select(F.col("dst").alias("changed"), F.col("src").alias("affected"))
+    e = edges(spark, sf)
+    return graph.dependents(e, e.where("dst % 10 = 0").select(F.col("dst").alias("node"))).select(F.col("root").alias("changed"), F.col("node").alias("affected"))
 
 
 STATUS = "t AS (SELECT o_custkey AS c, o_orderstatus AS s, lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders)"
@@ -59,7 +70,7 @@ def status_cycles(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
     after = F.lead("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     e = o.select(F.col("o_orderstatus").alias("src"), after.alias("dst")).where("dst is not null and dst <> src").distinct()
-    return graph.cycles(graph.closure(e))
+    return graph.cycles(graph.closure(graph.on_cycles(e)))
 
 
 @query("layer_boundary", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE')")

@@ -73,7 +73,8 @@ def scan_prompt_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("context_window_fingerprint", f"""WITH {LINES}, f AS (SELECT path, line, trim(regexp_replace(line_text, '[ \\t]+', ' ', 'g')) AS t FROM lines)
 SELECT path, line, sha256(path || '|' || string_agg(t, chr(10)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS context_fingerprint FROM f""")
 def context_window_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return fi.context_fingerprint(_lines(spark, sf))
+    windows = fi.context_fingerprint(files_from_documents(spark, sf))
+    return windows.select("path", "line", F.sha2(F.concat_ws("|", "path", "window"), 256).alias("context_fingerprint"))
 
 
 def _reasons(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,10 +162,11 @@ def duplicate_helper(spark: SparkSession, sf: str) -> DataFrame:
 @query("clone_blocks", f"""WITH {LINES}, b AS (SELECT path, line, string_agg(lower(trim(line_text)), chr(10)) OVER w AS block, count(*) OVER w AS n FROM lines WINDOW w AS (PARTITION BY path ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 s AS (SELECT block, count(DISTINCT path) AS files, count(*) AS places, min(path) AS first_path FROM b WHERE n = 3 AND length(block) >= 60 GROUP BY block HAVING count(DISTINCT path) > 1) SELECT sha256(block) AS block_hash, files, places, first_path FROM s""")
 def clone_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Clones as groups of equal three-line blocks, not pairs: linear in the number of lines."""
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(0, 2)
-    block = F.collect_list(F.lower(F.trim("line_text"))).over(w)
-    b = _lines(spark, sf).select("path", block.alias("b")).where(F.size("b") == 3).select("path", F.concat_ws("\n", "b").alias("block")).where(F.length("block") >= 60)
+    """Clones as groups of equal three-line blocks, not pairs: linear in the number of lines. Blocks are cut from the split text, so only they are shuffled."""
+    flat = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(x)))
+    l = files_from_documents(spark, sf).select("path", flat.alias("l")).where(F.size("l") >= 3)  # noqa: E741
+    blocks = F.transform(F.sequence(F.lit(1), F.size("l") - 2), lambda i: F.array_join(F.slice("l", i, 3), "\n"))
+    b = l.select("path", F.explode(F.filter(blocks, lambda x: F.length(x) >= 60)).alias("block"))
     return b.groupBy(F.sha2("block", 256).alias("block_hash")).agg(F.countDistinct("path").alias("files"), F.count(F.lit(1)).alias("places"), F.min("path").alias("first_path")).where("files > 1")
 
 

@@ -42,12 +42,90 @@ def trivy(spark: SparkSession, path: str) -> DataFrame:
 def lcov(lines: DataFrame) -> DataFrame:
     """(path, line, hits) from the lines (report, ordinal, text) of LCOV reports."""
     w = Window.partitionBy("report").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("path", F.last(F.when(F.col("text").startswith("SF:"), F.substring("text", 4, 4096)), ignorenulls=True).over(w))
-    da = named.where(F.col("text").startswith("DA:")).select("path", F.split(F.substring("text", 4, 64), ",").alias("v"))
+    named = lines.withColumn("path", F.last(F.when(F.col("text").startswith("SF:"), F.expr("substring(text, 4)")), ignorenulls=True).over(w))
+    da = named.where(F.col("text").startswith("DA:")).select("path", F.split(F.expr("substring(text, 4)"), ",").alias("v"))
     return da.select("path", F.col("v")[0].cast("int").alias("line"), F.col("v")[1].cast("long").alias("hits")).groupBy("path", "line").agg(F.max("hits").alias("hits"))
 
 
 def benchmark_output(lines: DataFrame) -> DataFrame:
-    """(name, ns_per_op) from benchmark output lines (text)."""
-    pattern = r"^(Benchmark\S+)\s+\d+\s+([0-9.]+) ns/op"
+    """(name, ns_per_op) from benchmark output lines (text); the name goes without the number of processors at its end."""
+    pattern = r"^(Benchmark\S*?)(?:-\d+)?\s+\d+\s+([0-9.]+) ns/op"
     return lines.where(F.col("text").rlike(pattern)).select(F.regexp_extract("text", pattern, 1).alias("name"), F.regexp_extract("text", pattern, 2).cast("double").alias("ns_per_op"))
+
+
+def go_cover(lines: DataFrame) -> DataFrame:
+    """(path, line, hits) from the lines (text) of a Go cover profile: each block covers its lines, and the largest count of a line stands."""
+    block = r"^(.+):(\d+)\.\d+,(\d+)\.\d+ \d+ (\d+)$"
+    part = lambda k: F.regexp_extract("text", block, k)
+    rows = lines.where(F.col("text").rlike(block)).select(part(1).alias("path"), part(2).cast("int").alias("lo"), part(3).cast("int").alias("hi"), part(4).cast("long").alias("hits"))
+    return rows.select("path", F.explode(F.sequence("lo", F.greatest("lo", "hi"))).alias("line"), "hits").groupBy("path", "line").agg(F.max("hits").alias("hits"))
+
+
+def govulncheck(lines: DataFrame) -> DataFrame:
+    """(rule_id, severity, osv, module, version, path, line) from a stream of JSON objects, one on each line (text)."""
+    shape = "finding struct<osv:string,fixed_version:string,trace:array<struct<module:string,version:string,package:string,function:string,position:struct<filename:string,line:int>>>>"
+    found = lines.select(F.from_json("text", shape)["finding"].alias("f")).where("f.osv is not null")
+    top, last = F.get("f.trace", F.lit(0)), F.element_at("f.trace", -1)
+    called = top["function"].isNotNull()
+    return found.select(F.lit("security.govulncheck").alias("rule_id"), F.when(called, "fail").otherwise("warn").alias("severity"), F.col("f.osv").alias("osv"), top["module"].alias("module"), top["version"].alias("version"), last["position"]["filename"].alias("path"), last["position"]["line"].alias("line")).distinct()
+
+
+def bundle_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(asset, bytes) from the statistics of esbuild (outputs) or webpack (assets)."""
+    raw = spark.read.text(path, wholetext=True)
+    shape = "outputs map<string,struct<bytes:bigint>>, assets array<struct<name:string,size:bigint>>"
+    held = raw.select(F.from_json("value", shape).alias("x"))
+    one = held.select(F.explode(F.map_entries("x.outputs")).alias("e")).select(F.col("e.key").alias("asset"), F.col("e.value.bytes").alias("bytes"))
+    return one.unionByName(held.select(F.explode("x.assets").alias("e")).select(F.col("e.name").alias("asset"), F.col("e.size").alias("bytes")))
+
+
+def time_trace(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, ms, events) from clang's time traces: complete events, summed by name."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "traceEvents array<struct<name:string,ph:string,dur:bigint>>").alias("x"))
+    return raw.select("file", F.explode("x.traceEvents").alias("e")).where("e.ph = 'X'").groupBy("file", F.col("e.name").alias("name")).agg((F.sum("e.dur") / 1000.0).alias("ms"), F.count(F.lit(1)).alias("events"))
+
+
+def cargo_timings(spark: SparkSession, path: str) -> DataFrame:
+    """(unit, version, seconds) from the data in cargo's timing report."""
+    raw = spark.read.text(path, wholetext=True)
+    data = F.regexp_extract("value", r"(?s)UNIT_DATA\s*=\s*(\[.*?\]);", 1)
+    units = raw.select(F.explode(F.from_json(data, "array<struct<name:string,version:string,duration:double>>")).alias("u"))
+    return units.select(F.col("u.name").alias("unit"), F.col("u.version").alias("version"), F.col("u.duration").alias("seconds"))
+
+
+def compile_commands(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """(file, directory, arguments) of a compilation database; entries outside the root are left out."""
+    held = spark.read.schema("directory string, file string, command string, arguments array<string>").json(path, multiLine=True)
+    whole = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
+    arguments = F.coalesce("arguments", F.split("command", " +"))
+    return held.select(whole.alias("file"), "directory", arguments.alias("arguments")).where(F.col("file").startswith(root.rstrip("/") + "/") & ~F.col("file").contains("/../"))
+
+
+def over_budget(measured: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(name, measured, max): what is above its budget; both tables are keyed by name."""
+    return measured.groupBy("name").agg(F.sum("value").alias("measured")).join(budgets, "name").where(F.col("measured") > F.col("max")).select("name", "measured", "max")
+
+
+def regressions(base: DataFrame, now: DataFrame, percent: float = 20.0) -> DataFrame:
+    """(name, base, now, growth) of measurements (name, value) that grew by more than `percent`; a base of 0 or less tells nothing."""
+    b, n = base.groupBy("name").agg(F.avg("value").alias("base")), now.groupBy("name").agg(F.avg("value").alias("now"))
+    return b.where("base > 0").join(n, "name").withColumn("growth", F.round((F.col("now") - F.col("base")) * 100 / F.col("base"), 6)).where(F.col("growth") > percent)
+
+
+MAX_REPORT_BYTES = 16 << 20
+
+
+def import_report(spark: SparkSession, form: str, path: str, root: str | None = None) -> DataFrame:
+    """Findings of an outside report: sarif, gitleaks or trivy. A path outside `root`, or a file above MAX_REPORT_BYTES, raises ValueError."""
+    import os
+
+    readers = {"sarif": sarif, "gitleaks": gitleaks, "trivy": trivy}
+    if form not in readers:
+        raise ValueError(f"unknown report format {form!r}")
+    if "://" not in path:
+        real = os.path.realpath(path)
+        if root is not None and os.path.commonpath([real, os.path.realpath(root)]) != os.path.realpath(root):
+            raise ValueError(f"{path} is outside {root}")
+        if os.path.getsize(real) > MAX_REPORT_BYTES:
+            raise ValueError(f"{path} is above {MAX_REPORT_BYTES} bytes")
+    return readers[form](spark, path)

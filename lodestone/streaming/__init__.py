@@ -1,0 +1 @@
+"""Structured Streaming: logs that grow, and event windows."""
