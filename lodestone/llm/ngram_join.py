@@ -24,6 +24,7 @@ Shingles are compared as 64-bit hashes.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -258,16 +259,24 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent, self.kind = docs, width, percent, docs.schema["id"].dataType.simpleString()
         self.made: list[DataFrame] = []
+        self.labels: dict[int, str] = {}
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         self.made.append(workspace.materialise(df, label))
+        self.labels[id(self.made[-1])] = label
         return self.made[-1]
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            self.made.remove(df)
+            self.made = [x for x in self.made if x is not df]
             workspace.drop(df)
 
+    def clear(self, since: int, *kept: DataFrame | str) -> None:
+        """Delete the tables made since, but for those named. Shuffles that nothing refers to any more go as well, once their handles are collected."""
+        self.drop(*[df for df in self.made[since:] if not any(df is k or self.labels[id(df)] == k for k in kept)])
+        gc.collect()
+        self.docs.sparkSession._jvm.java.lang.System.gc()
+
     def likely(self, ids: DataFrame) -> DataFrame:
         """(id, text) of the rows that may have one of some ids, by a Bloom filter."""
         pieces = bloom.seen(ids.select(F.xxhash64("id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
@@ -331,16 +340,22 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     again = j.keep(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "tokens")
     shared = j.keep(entries.join(again, "token"), "index")
     j.drop(again, indexed)
+    del entries, settled, indexed, again
+    mark = len(j.made)
+    j.clear(mark)
 
     # round one: a shingle's centre is the holder with the highest share of index shingles, as the source of edited copies is
-    share = shared.groupBy("id").agg((-F.round(F.count(F.lit(1)) / F.first("n"), 3)).cast("float").alias("by"))
-    starred = _starred(j, shared.join(share, "id"), "by")
+    by_id = shared.repartition("id")  # one shuffle for both sides
+    share = by_id.groupBy("id").agg((-F.round(F.count(F.lit(1)) / F.first("n"), 3)).cast("float").alias("by"))
+    starred = _starred(j, by_id.join(share, "id"), "by")
     with_most = starred.where(j.close(F.col("n"), F.col("nc"))).groupBy("id", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "c")), asc=False), 1, CENTRES).alias("best"))
     pairs = with_most.select(F.col("id").alias("a"), F.explode("best.c").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = j.keep(pairs, "stars")
     texts = j.texts(reps, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
-    edges = j.linked(j.compared(j.filtered(pairs, texts, classes), texts))
+    edges = j.keep(j.linked(j.compared(j.filtered(pairs, texts, classes), texts)), "edges")
     groups = j.keep(connected_components(edges, "a", "b"), "groups")
+    del by_id, share, starred, with_most, pairs, texts
+    j.clear(mark, edges, groups)
 
     second = _round_two(j, shared, reps, groups, classes)
     if second is not None and not second.isEmpty():
@@ -367,6 +382,7 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     """Links between documents that share an index shingle and are in different components so far."""
     p = j.percent
     placed = j.keep(shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("component")), "placed")
+    mark = len(j.made)
     placed = _open(j, placed)
     holders = placed.select("id").distinct().join(reps.select(F.col("rep").alias("id"), "n", "rows"), "id")
     holders = j.keep(holders, "holders")
@@ -375,6 +391,7 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     reach = _reaching(j, holders, likely, F.col("rows") > 1)
     texts = None
     for one_in in SAMPLES[1:]:
+        j.clear(mark, placed, holders, reach, "texts")
         placed = _open(j, placed.join(reach.select("id"), "id", "left_semi"))
         holders = j.keep(holders.join(placed.select("id").distinct(), "id", "left_semi"), "holders")
         if holders.isEmpty():
@@ -385,6 +402,7 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     placed = _open(j, placed.join(reach.select("id"), "id", "left_semi"))
     if placed.isEmpty():
         return None
+    j.clear(mark, placed, reach, "texts")
     starred = j.keep(_starred(j, placed.join(reach, "id"), "by"), "open")
     stars = j.compared(starred.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), texts)
     component = placed.groupBy("id").agg(F.first("component").alias("component"))
