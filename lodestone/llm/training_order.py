@@ -13,10 +13,12 @@ A task writes a shard under another name and renames it at its end, so a retried
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,7 @@ from . import spans, workspace
 
 _U = np.uint64
 ROUNDS = 4
+CHUNK = 8 << 20
 #: The pre-tokenisation pattern that goes with the vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -63,6 +66,46 @@ class Permutation:
         return self._walk(slots, True)
 
 
+class _Pieces:
+    """Texts cut before every single ASCII space between other ASCII characters that are no space. There the pattern always begins a new match, so
+    pieces encode on their own, and equal pieces of a run of texts are encoded once."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        n = len(data)
+        plain = (data < 0x80) & ~spans.SPACE[data]
+        cut = np.zeros(n, bool)
+        cut[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
+        cut[at[at < n]] = True
+        self.starts = np.flatnonzero(cut)
+        self.ends = np.append(self.starts[1:], n)
+        self.of_text = np.searchsorted(self.starts, at)
+        size = self.ends - self.starts
+        # the first and the last eight bytes and the length say all of a piece of sixteen; longer ones have a hash as well
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+        mask = np.where(size >= 8, ~_U(0), (_U(1) << (np.minimum(size, 7).astype(_U) * _U(8))) - _U(1))
+        head, tail = words[self.starts] & mask, words[np.maximum(self.ends - 8, self.starts)] & mask
+        key = spans.mix(head ^ spans.mix(tail + size.astype(_U) * _U(0x9E3779B97F4A7C15)))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            offset = np.concatenate(([0], np.cumsum(size[long])))
+            inside = data[_ranges(self.starts[long], size[long])]
+            key[long] ^= spans.hash_spans(spans.BYTE_VALUE[inside], offset[:-1], offset[1:])
+        self.code, kinds = pd.factorize(key)
+        self.first = np.zeros(len(kinds), np.int64)
+        self.first[self.code[::-1]] = np.arange(len(key))[::-1]
+        rep = self.first[self.code]
+        odd = np.flatnonzero((head != head[rep]) | (tail != tail[rep]) | (size != size[rep]))  # other pieces of one key
+        self.code[odd] = len(kinds) + np.arange(len(odd))
+        self.first = np.concatenate((self.first, odd))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class Encoder:
     def __init__(self, vocabulary: bytes):
         import tiktoken
@@ -70,22 +113,48 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.core = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
+        self.lengths = np.zeros(self.end, np.int64)
+        self.lengths[list(ranks.values())] = [len(token) for token in ranks]
         self.kind = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
 
-    def records(self, text: str, seq_len: int) -> tuple[np.ndarray, int]:
-        """The padded records of a text, and how many ids they hold with the end mark."""
-        ids = self._ids(text)
-        n = len(ids) + 1
-        out = np.full((-(-n // seq_len), seq_len), self.end, self.kind)
-        out.ravel()[: len(ids)] = ids
-        return out, n
-
-    def count(self, text: str, seq_len: int) -> int:
-        return -(-(len(self._ids(text)) + 1) // seq_len)
-
-    def _ids(self, text: str) -> np.ndarray:
-        """Straight into an array: no Python integer for each id."""
-        return self.core.encode_to_numpy(text, disallowed_special=())
+    def encode(self, data: np.ndarray, at: np.ndarray, count_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(at) - 1, np.int64)
+        pieces = _Pieces(data, at)
+        starts, ends = pieces.starts[pieces.first], pieces.ends[pieces.first]
+        # pieces that begin with a space and end without one can stand in a row: one call encodes them all
+        plain = (data < 0x80) & ~spans.SPACE[data]
+        row = (ends - starts >= 2) & (data[starts] == 0x20) & plain[np.minimum(starts + 1, len(data) - 1)] & plain[ends - 1]
+        ids = self.core.encode_to_numpy(data[_ranges(starts[row], (ends - starts)[row])].tobytes().decode(), disallowed_special=())
+        reached = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum((ends - starts)[row])) + 1
+        raw = data.tobytes()
+        alone = [self.core.encode_ordinary(raw[a:b].decode()) for a, b in zip(starts[~row].tolist(), ends[~row].tolist(), strict=True)]
+        size = np.zeros(len(row), np.int64)
+        size[row] = np.diff(reached, prepend=0)
+        size[~row] = np.fromiter(map(len, alone), np.int64, len(alone))
+        by_piece = size[pieces.code]
+        counts = spans.per_text(by_piece, pieces.of_text)
+        if count_only:
+            return np.zeros(0, self.kind), counts
+        flat = np.concatenate((ids.astype(self.kind), np.fromiter(itertools.chain.from_iterable(alone), self.kind, int(size[~row].sum()))))
+        offset = np.zeros(len(row), np.int64)
+        offset[row] = np.cumsum(size[row]) - size[row]
+        offset[~row] = len(ids) + np.cumsum(size[~row]) - size[~row]
+        return flat[_ranges(offset[pieces.code], by_piece)], counts
+
+    def records(self, data: np.ndarray, at: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The padded records of all texts, how many each has, and how many ids each has with its end mark."""
+        ids, counts = self.encode(data, at)
+        rows = sequences(counts, seq_len)
+        out = np.full((int(rows.sum()), seq_len), self.end, self.kind)
+        out.ravel()[_ranges((np.cumsum(rows) - rows) * seq_len, counts)] = ids
+        return out, rows, counts + 1
+
+
+def sequences(counts: np.ndarray, seq_len: int) -> np.ndarray:
+    """How many records the ids of a text and an end mark fill."""
+    return -(-(counts + 1) // seq_len)
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -104,8 +173,8 @@ def _count(vocabulary, seq_len: int):
         encoder, n = None, 0
         for batch in batches:
             encoder = encoder or _encoder(vocabulary)
-            for text in batch.column(1):
-                n += encoder.count(text.as_py() or "", seq_len)
+            for _, _, data, at in spans.chunked(batch.column(1), CHUNK):
+                n += int(sequences(encoder.encode(data, at, count_only=True)[1], seq_len).sum())
         if n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
@@ -123,18 +192,16 @@ def _number(vocabulary, offsets, seq_len: int, total: int, seed: int, rows_per_s
         at = begin
         for batch in batches:
             encoder = encoder or _encoder(vocabulary)
-            for low in range(0, len(batch), 200):
-                rows, seqs, sizes, data = [], [], [], []
-                for i, text in enumerate(batch.column(1).slice(low, 200)):
-                    records, n = encoder.records(text.as_py() or "", seq_len)
-                    rows += [low + i] * len(records)
-                    seqs += range(len(records))
-                    sizes += [seq_len] * (len(records) - 1) + [n - seq_len * (len(records) - 1)]
-                    data += [pack.compress(r.tobytes()) for r in records]
-                slots = order.slots(np.arange(at, at + len(rows)))
-                at += len(rows)
+            for low, high, data, offsets_of in spans.chunked(batch.column(1), CHUNK):
+                records, rows, ids = encoder.records(data, offsets_of, seq_len)
+                row = np.repeat(np.arange(low, high), rows)
+                seq = _ranges(np.zeros(len(rows), np.int64), rows)
+                sizes = np.minimum(seq_len, np.repeat(ids, rows) - seq * seq_len)
+                slots = order.slots(np.arange(at, at + len(row)))
+                at += len(row)
+                packed = pa.array([pack.compress(r) for r in records], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(seqs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(slots), pa.array(slots // rows_per_shard), pa.array(data, pa.binary())],
+                    [batch.column(0).take(pa.array(row)), pa.array(seq.astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(slots), pa.array(slots // rows_per_shard), packed],
                     names=["id", "seq", "n_tokens", "slot", "shard", "data"],
                 )
         if at != end:

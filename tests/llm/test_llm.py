@@ -212,6 +212,19 @@ def test_training_order_round_trip(spark, tmp_path):
     assert [x.tolist() for x in training_order.read_slots(f"file://{tmp_path}", 95, 105)] == [x.tolist() for x in records[95:105]]
 
 
+def test_encoding_in_pieces_is_plain_encoding():
+    with open(training_order.vocabulary_path(), "rb") as f:
+        encoder = training_order.Encoder(f.read())
+    rng = random.Random(1)
+    odd = ["".join(rng.choice(" \n\t'sab1.é\u3000\xa0\x1c,-😀Z") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    odd += [None, "", " ", "a", "a b", "longer-than-sixteen-bytes " * 9, "same words same words"]
+    data, at = spans.text_buffers(pa.array(odd))
+    ids, counts = encoder.encode(data, at)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoder.core.encode_ordinary(t or "") for t in odd]
+    assert encoder.encode(data, at, count_only=True)[1].tolist() == counts.tolist()
+    assert encoder.encode(*spans.text_buffers(pa.array([None, ""], pa.string())))[1].tolist() == [0, 0]
+
+
 def _held(spark, sf, name, label):
     import __spark_entry__  # noqa: F401
 
