@@ -8,6 +8,7 @@ end to end. Forward-backward marginals, weighted by word length, sum to the docu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,14 +99,25 @@ class LanguageModel:
         return np.where(total > 0, best, -1), share.max(axis=1) / np.maximum(total, 1e-9)
 
 
+def _two_pieces(text: str) -> str:
+    """Two pieces of a text, chosen anywhere in it by its hash; all of a text that has no more."""
+    words = text.split()
+    pieces = -(-len(words) // PIECE_WORDS)
+    if pieces > 2:
+        h = zlib.crc32(text.encode())
+        a = h % pieces
+        b = (a + 1 + h // pieces % (pieces - 1)) % pieces
+        words = [w for k in sorted((a, b)) for w in words[k * PIECE_WORDS : (k + 1) * PIECE_WORDS]]
+    return " ".join(words)
+
+
 def fit(examples: list[tuple[str, str]], rounds: int = 40, l2: float = 0.02) -> LanguageModel:
     """With no examples the model knows no language and every text is `und`."""
     langs = sorted({y for _, y in examples})
     empty = LanguageModel(langs, np.zeros(((4 << TABLE_BITS) + 1, max(1, len(langs))), np.float32), np.zeros(0, _U), np.zeros((1, max(1, len(langs))), np.float32), np.zeros((max(1, len(langs)),) * 2))
     if len(langs) < 2:
         return empty
-    # two pieces of each sampled text are enough to learn from
-    data, at = spans.text_buffers(pa.array([" ".join(t.split(None, 2 * PIECE_WORDS)[: 2 * PIECE_WORDS]) for t, _ in examples], pa.string()))
+    data, at = spans.text_buffers(pa.array([_two_pieces(t) for t, _ in examples], pa.string()))
     f = WordFeatures(data, at)
     labels = np.repeat([langs.index(y) for _, y in examples], np.diff(f.first))
     # chains: pieces of PIECE_WORDS words; a chain of four pieces, dealt in hash order, so that most chains switch language
@@ -152,7 +164,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Predict each text's language: (id, held_out, lang_pred, score), one row for each input row.
 
     Learned from at most `per_class` documents of each language (non-null, crc32(id as text) mod 4 not 2, at most
-    MAX_CHARS characters). Predictions read the whole text and nothing else. A null text, or one without a
+    MAX_CHARS characters), of each two pieces of PIECE_WORDS words, drawn from the whole text by its hash. Predictions read the whole text and nothing else. A null text, or one without a
     letter, is `und` with score 0. Rows with a null id are predicted and are not held out. Repeated rows get equal
     predictions. If nothing can be learned all texts are `und`; if one language can, it is predicted with score 1. An
     empty table gives an empty table.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,13 +26,20 @@ def short_enough(known: DataFrame, docs: DataFrame, max_chars: int) -> DataFrame
 
 
 def sample_ids(labelled: DataFrame, per_class: int) -> DataFrame:
-    """(id, label) of `per_class` rows at most of each label: the smallest hash in each of so many buckets. Sums before it shuffles."""
-    h = F.xxhash64("id")
-    best = labelled.where("id is not null and label is not null").groupBy("label", F.pmod(h, F.lit(per_class)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "id")).alias("x"))
-    return best.select(F.col("x.id").alias("id"), "label")
+    """(id, label) of `per_class` rows of each label, or all if there are fewer: those of the smallest hashes.
+
+    Rows are counted first; then only rows below a hash that some twice per_class of a label lie below are ranked, so no group is large.
+    """
+    own = labelled.where("id is not null and label is not null").select("id", "label").distinct()
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # one row for each label
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    bound = F.when(F.col("n") <= 2 * per_class + 100, F.lit(1 << 40)).otherwise(((2 * per_class + 100) * float(1 << 40) / F.col("n")).cast("long"))
+    few = own.join(F.broadcast(sizes), "label").where(h < bound)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(h, "id"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_class).select("id", "label")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> list[tuple[str, object]]:
-    """The sampled texts with their labels, on the driver: bounded by the sample's size and max_chars. Longer texts are left out."""
-    found = docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "id").select("id", "text", "label").collect()
+    """The sampled texts with their labels, on the driver: bounded by the sample's size and max_chars. Longer texts are left out; of a repeated id the least text counts."""
+    found = docs.where(F.length("text") <= max_chars).join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.label) for r in sorted(found, key=lambda r: (str(r.id), r.text))]
