@@ -118,7 +118,10 @@ def mixed(column: pa.Array) -> np.ndarray:
 
 def split(df: DataFrame, key: Column, pieces, bits: int) -> tuple[DataFrame, DataFrame]:
     """The rows whose key hash is surely not in a filter of key_hashes(), and those whose may be; both in the columns of `df`."""
-    tagged = df.select("*", key.alias("key hash"))
+    name = "key hash"
+    while name in df.columns:
+        name += " "
+    tagged = df.select("*", key.alias(name))
 
     def rows(wanted: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

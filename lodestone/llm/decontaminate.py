@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import spans
 
@@ -164,7 +165,8 @@ def scan_benchmark(
     column of either table is read. Blocks hold about `block_chars` characters; an item longer than that makes a longer block.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    # the id may be a whole row: its type goes as it is, as names of any kind do not survive being written and read
+    shape = StructType([StructField("id", docs.schema[id_col].dataType), *([StructField("text", StringType())] if cut else []), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
     n = max(1, -(-int(size) // block_chars))
@@ -173,7 +175,7 @@ def scan_benchmark(
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
         blocks.append(spark.sparkContext.broadcast(Index([(r.item, r.text) for r in part.collect()], width)))  # about block_chars characters
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(_scan(blocks, cut), f"id {kind}, {'text string, ' if cut else ''}n_words long, n_hit long, items array<string>")
+    found = source.mapInArrow(_scan(blocks, cut), shape)
     return found.select(F.col("id").alias(id_col), *([F.col("text").alias(text_col)] if cut else []), "n_words", "n_hit", "items")
 
 
