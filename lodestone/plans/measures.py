@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import repository
 from .registry import query
 
 
@@ -26,14 +27,13 @@ def churn_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     return by.where("defects >= 2")
 
 
-@query("co_change", """WITH c AS (SELECT DISTINCT date_trunc('hour', ts) AS h, user_id AS u FROM events), p AS (SELECT a.u AS path, b.u AS partner, count(*) AS n FROM c a JOIN c b ON a.h = b.h AND a.u <> b.u GROUP BY ALL),
+@query("co_change", f"""WITH c AS (SELECT DISTINCT date_trunc('minute', ts) AS h, user_id AS u FROM events), s AS (SELECT h FROM c GROUP BY h HAVING count(*) <= {repository.MAX_FILES}),
+p AS (SELECT a.u AS path, b.u AS partner, count(*) AS n FROM s JOIN c a USING (h) JOIN c b USING (h) WHERE a.u <> b.u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, partner) AS rank FROM p) SELECT path, partner, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def co_change(spark: SparkSession, sf: str) -> DataFrame:
-    """Files changed in one commit; commits of more than a few files would be dropped as bulk changes by the caller."""
-    c = _events(spark, sf).select(F.date_trunc("hour", "ts").alias("h"), F.col("user_id").alias("path")).distinct()
-    p = c.join(c.select("h", F.col("path").alias("partner")), "h").where("path <> partner").groupBy("path", "partner").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "partner"))
-    return p.withColumn("rank", rank).where("rank <= 3").select("path", "partner", "n", "rank")
+    """Files changed in one commit (a minute). A commit of more than MAX_FILES files says nothing on what belongs together and goes, which bounds the pairs."""
+    c = _events(spark, sf).select(F.date_trunc("minute", "ts").alias("commit"), F.col("user_id").alias("path")).distinct()
+    return repository.co_change(c, least=1, k=3)
 
 
 DAILY = "d AS (SELECT event_type AS key, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS score FROM events GROUP BY ALL)"
