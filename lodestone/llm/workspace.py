@@ -29,12 +29,18 @@ BATCH_ROWS = 1000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python workers at most BATCH_ROWS rows at once, also while a caller writes what an operator returned."""
+    now = int(spark.conf.get(BATCH_SETTING))
+    spark.conf.set(BATCH_SETTING, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
     before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    bound_batches(spark)
     try:
         df.write.parquet(path)
     finally:

@@ -394,6 +394,25 @@ def test_pipeline(spark, sf):
     assert index.select("slot").distinct().count() == index.count() >= sizes[4]
 
 
+@pytest.mark.parametrize("k", [0, 1, 2])
+def test_pipeline_stages_hand_out_few_rows_at_once(spark, tmp_path, k):
+    """Also while a caller writes what a stage returned."""
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word', id, ' and more of it') as text").coalesce(1)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        out = corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path))
+        sizes = out.sparkSession.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) <= workspace.BATCH_ROWS
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_pipeline_drops_a_copy_with_an_appended_block(spark):
     import corpus_pipeline
 
