@@ -118,19 +118,24 @@ def mixed(column: pa.Array) -> np.ndarray:
 
 def split(df: DataFrame, key: Column, pieces, bits: int) -> tuple[DataFrame, DataFrame]:
     """The rows whose key hash is surely not in a filter of key_hashes(), and those whose may be; both in the columns of `df`."""
+    return _rows(df, key, pieces, bits, False), _rows(df, key, pieces, bits, True)
+
+
+def maybe(df: DataFrame, key: Column, pieces, bits: int, then=None, shape: str | None = None) -> DataFrame:
+    """The rows whose key hash may be in the filter, or what `then`, a function for mapInArrow, makes of them in the same Python worker: one worker a task, not two."""
+    return _rows(df, key, pieces, bits, True, then, shape)
+
+
+def _rows(df: DataFrame, key: Column, pieces, bits: int, wanted: bool, then=None, shape: str | None = None) -> DataFrame:
     name = "key hash"
     while name in df.columns:
         name += " "
-    tagged = df.select("*", key.alias(name))
 
-    def rows(wanted: bool):
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = None
-            for batch in batches:
-                words = load(pieces, bits) if words is None else words
-                last = batch.num_columns - 1
-                yield batch.filter(pa.array(has(words, mixed(batch.column(last)), bits) == wanted)).select(range(last))
-
-        return tagged.mapInArrow(task, df.schema)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for batch in batches:
+            words = load(pieces, bits) if words is None else words
+            last = batch.num_columns - 1
+            yield batch.filter(pa.array(has(words, mixed(batch.column(last)), bits) == wanted)).select(range(last))
 
-    return rows(False), rows(True)
+    return df.select("*", key.alias(name)).mapInArrow((lambda batches: then(task(batches))) if then else task, shape or df.schema)

@@ -6,7 +6,8 @@
    passages that many documents share out of the prefixes.
 2. Two sets with Jaccard >= t share a shingle in their prefixes of n - ceil(t n) + 1 under *every* global order, and
    l shingles in prefixes that are l - 1 longer. The first order (frequency class, then hash 1) makes the index: only
-   shingles that two prefixes hold stay. The second and third orders (l = n / 10) filter its candidates, both at once.
+   shingles that two prefixes hold stay. The second and third orders (l = n / 10) filter its candidates, both at once, by
+   32 bits of each shingle; shingles of one prefix that are equal in those bits count as shared, so no pair is lost.
 3. Round one compares each document with the centres of its index shingles (the two it shares most of them with), so
    a group of thousands of near copies costs two pairs a document. Components come from star contraction.
 4. Round two looks at the shingles whose holders are still in different components.
@@ -149,9 +150,9 @@ def _prefix(h: np.ndarray, first: np.ndarray, classes: np.ndarray, percent: int,
     return text[inside], h[by][inside]
 
 
-def _lists(text: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+def _lists(text: np.ndarray, values: np.ndarray, rows: int, kind: type = np.int64) -> pa.Array:
     offsets = np.searchsorted(text, np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64).astype(kind)))
 
 
 def _table(classes) -> np.ndarray:
@@ -178,7 +179,7 @@ def _index(classes, doubtful, width: int, percent: int):
 
 
 def _filters(classes, width: int, percent: int):
-    """(id, n, p2, p3): prefixes under the filtering orders."""
+    """(id, n, p2, p3): 32 bits of each shingle of the prefixes under the filtering orders."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
@@ -186,7 +187,7 @@ def _filters(classes, width: int, percent: int):
             table = _table(classes) if table is None else table
             for low, high, data, at in spans.chunked(batch.column(1)):
                 h, first = shingle_sets(data, at, width)
-                lists = [_lists(*_prefix(h, first, table, percent, k), high - low) for k in (1, 2)]
+                lists = [_lists(*_prefix(h, first, table, percent, k), high - low, np.int32) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(first)), *lists], names=["id", "n", "p2", "p3"])
 
     return task
@@ -274,33 +275,45 @@ class _Join:
     def clear(self, since: int, *kept: DataFrame | str) -> None:
         """Delete the tables made since, but for those named. Shuffles that nothing refers to any more go as well, once their handles are collected."""
         self.drop(*[df for df in self.made[since:] if not any(df is k or self.labels[id(df)] == k for k in kept)])
+        self.free()
+
+    def free(self) -> None:
+        """Delete the files of shuffles that nothing refers to any more."""
         gc.collect()
         self.docs.sparkSession._jvm.java.lang.System.gc()
 
-    def likely(self, ids: DataFrame) -> DataFrame:
-        """(id, text) of the rows that may have one of some ids, by a Bloom filter."""
+    def likely(self, ids: DataFrame, then=None, shape: str | None = None) -> DataFrame:
+        """(id, text) of the rows that may have one of some ids, by a Bloom filter; or what `then` makes of them, in columns `shape`."""
         pieces = bloom.seen(ids.select(F.xxhash64("id").alias("h")), bloom.key_hashes, ID_FILTER_BITS)
-        return bloom.split(self.docs.where("id is not null"), F.xxhash64("id"), pieces, ID_FILTER_BITS)[1]
+        return bloom.maybe(self.docs.where("id is not null"), F.xxhash64("id"), pieces, ID_FILTER_BITS, then, shape)
 
     def texts(self, reps: DataFrame, ids: DataFrame) -> DataFrame:
         """The texts of the given representatives. A Bloom filter of their ids keeps most other texts out of the shuffle."""
         wanted = self.keep(reps.select(F.col("rep").alias("id"), "s1", "s2", "rows").join(ids, "id", "left_semi"), "wanted")
-        found = self.likely(wanted).join(wanted, "id").select("id", "text", "rows", "s1", "s2").mapInArrow(_of_signature(self.width), f"id {self.kind}, text string, rows long")
+        # not by broadcast: the task would hold two Python workers, one for either side of the join
+        found = self.likely(wanted).join(wanted.hint("merge"), "id").select("id", "text", "rows", "s1", "s2").mapInArrow(_of_signature(self.width), f"id {self.kind}, text string, rows long")
         found = self.keep(found, "texts")
+        self.free()
         return found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["id"])).select("id", "text")
 
     def filtered(self, pairs: DataFrame, texts: DataFrame, classes) -> DataFrame:
         """The pairs that share enough of their prefixes under the second and the third order."""
-        lists = self.keep(texts.mapInArrow(_filters(classes, self.width, self.percent), f"id {self.kind}, n long, p2 array<long>, p3 array<long>"), "prefixes")
+        lists = self.keep(texts.mapInArrow(_filters(classes, self.width, self.percent), f"id {self.kind}, n long, p2 array<int>, p3 array<int>"), "prefixes")
         side = lambda x: lists.select(*(F.col(c).alias(f"{c}{x}" if c != "id" else x) for c in lists.columns))
         least = F.floor(F.least("na", "nb") / SPARE) + 1
-        sharing = (F.size(F.array_intersect("p2a", "p2b")) >= least) & (F.size(F.array_intersect("p3a", "p3b")) >= least)
-        return self.keep(pairs.join(side("a"), "a").join(side("b"), "b").where(sharing).select("a", "b"), "candidates")
+        # what is equal in its 32 bits within one prefix is one element of the intersection; it may have been several shared shingles
+        most = lambda p: F.size(F.array_intersect(f"{p}a", f"{p}b")) + F.size(f"{p}a") - F.size(F.array_distinct(f"{p}a"))
+        found = self.keep(pairs.join(side("a"), "a").join(side("b"), "b").where((most("p2") >= least) & (most("p3") >= least)).select("a", "b"), "candidates")
+        self.drop(lists)
+        self.free()
+        return found
 
     def compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
         shape = f"a {self.kind}, b {self.kind}, common long, na long, nb long, difference array<long>"
-        return self.keep(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(self.width), shape), "pairs")
+        compared = self.keep(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_compare(self.width), shape), "pairs")
+        self.free()
+        return compared
 
     def links(self, common, na, nb):
         return (100 + self.percent) * common >= self.percent * (na + nb)
@@ -338,6 +351,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     settled = indexed.where("maybe").join(reps.withColumnRenamed("rep", "id"), key, "left_semi").dropDuplicates(key)
     entries = indexed.where("not maybe").unionByName(settled).select("id", F.col("n").cast("int").alias("n"), F.explode("p").alias("token"))
     again = j.keep(entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "tokens")
+    j.free()
     shared = j.keep(entries.join(again, "token"), "index")
     j.drop(again, indexed)
     del entries, settled, indexed, again
@@ -386,7 +400,7 @@ def _round_two(j: _Join, shared: DataFrame, reps: DataFrame, groups: DataFrame,
     placed = _open(j, placed)
     holders = placed.select("id").distinct().join(reps.select(F.col("rep").alias("id"), "n", "rows"), "id")
     holders = j.keep(holders, "holders")
-    likely = j.likely(holders).mapInArrow(_set_rows(j.width, SAMPLES[0]), f"id {j.kind}, h long")
+    likely = j.likely(holders, _set_rows(j.width, SAMPLES[0]), f"id {j.kind}, h long")
     # a repeated id may have shingles of another of its texts here, so it stays for now
     reach = _reaching(j, holders, likely, F.col("rows") > 1)
     texts = None

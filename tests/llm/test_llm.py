@@ -1,6 +1,8 @@
 """Small tests of the training-data operators: odd rows, SQL, brute force, round trips, held-out accuracy."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +230,35 @@ def test_near_copies_of_many_documents(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def _stacked_workers(plan: str) -> bool:
+    """Whether a task of the plan runs one Python worker on what another gives."""
+    path: list[tuple[int, str]] = []
+    for line in plan.splitlines():
+        depth = re.match(r"[ :+-]*", line).end()
+        path = [x for x in path if x[0] < depth] + [(depth, line[depth:])]
+        inside = itertools.takewhile(lambda name: "Exchange" not in name, (name for _, name in reversed(path)))
+        if path[-1][1].startswith("MapInArrow") and sum(name.startswith("MapInArrow") for name in inside) > 1:
+            return True
+    return False
+
+
+def test_near_copies_take_one_worker_a_task_and_short_filters(spark, monkeypatch):
+    plans, kinds, write = {}, {}, workspace.materialise
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        kinds.update(df.dtypes)
+        return write(df, label)
+
+    monkeypatch.setattr(workspace, "materialise", noted)
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = [(1, text), (2, f"{text} x"), (3, f"y {text}"), (4, " ".join(f"w{i}" for i in range(50))), (5, "else")]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert "reach" in plans and kinds["p2"] == kinds["p3"] == "array<int>"
+    assert not [label for label, made in plans.items() if any(map(_stacked_workers, made))]
+
+
 def _components_by_hand(docs, width, percent):
     sets = {i: {tuple(t.split()[j : j + width]) for j in range(max(1, len(t.split()) - width + 1))} for i, t in docs}
     root = {i: i for i in sets}
