@@ -20,6 +20,8 @@ from . import crf, samples, spans
 PER_CLASS = 1200
 MAX_CHARS = 30_000
 GOOD = 0.7
+#: Lines whose features are turned into 64 bits at once while the model is fitted.
+LINES = 1 << 15
 
 
 def _set(*parts: tuple[int, int] | str) -> np.ndarray:
@@ -84,6 +86,19 @@ def line_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate((own, before, after, np.stack((opens, closes, np.ones(len(own))), axis=1)), axis=1).astype(np.float32), size, first
 
 
+def sample_features(texts: list[str | None], limit: int = spans.CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of all texts, made for runs of about `limit` bytes: the work arrays are many times a run's size, and the driver holds them."""
+    lines = sum((t or "").count("\n") + 1 for t in texts)
+    x, size, first = np.zeros((lines, 0), np.float32), np.empty(lines, np.float32), np.zeros(len(texts) + 1, np.int64)
+    for low, high, data, at in spans.chunked(pa.array(texts, pa.string()), limit):
+        own, own_size, own_first = line_features(data, at)
+        if not low:
+            x = np.empty((lines, own.shape[1]), np.float32)
+        first[low : high + 1] = first[low] + own_first
+        x[first[low] : first[high]], size[first[low] : first[high]] = own, own_size
+    return x, size, first
+
+
 def _document_means(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
     weight = size.astype(float) + 1
     sums, total = np.concatenate(([0], np.cumsum(p * weight))), np.concatenate(([0], np.cumsum(weight)))
@@ -116,8 +131,8 @@ def fit(examples: list[tuple[str, int]], rounds: int = 150, l2: float = 1.0) ->
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         return QualityModel(np.zeros(len(line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0][0]), np.float32), np.zeros((2, 2)), (0.0, float(np.log(share / (1 - share)))))
-    data, at = spans.text_buffers(pa.array([t for t, _ in examples], pa.string()))
-    x, size, first = line_features(data, at)
+    x, size, first = sample_features([t for t, _ in examples])
+    runs = [slice(i, i + LINES) for i in range(0, len(x), LINES)]
     y = np.repeat(labels, np.diff(first))
     emission, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     seen = crf.observed_pairs(y, first, 2)
@@ -126,9 +141,11 @@ def fit(examples: list[tuple[str, int]], rounds: int = 150, l2: float = 1.0) ->
     weight = np.repeat(1 / np.maximum(np.diff(first), 1), np.diff(first))
     for _ in range(rounds):
         scores = np.zeros((len(x), 2))
-        scores[:, 1] = x @ emission
+        for run in runs:
+            scores[run, 1] = x[run] @ emission
         p, expected, _ = crf.marginals(scores, first, trans, pairs=True)
-        adam.step([x.T @ ((y - p[:, 1]) * weight) - l2 * emission / 4, (seen - expected) * (len(examples) / len(x)) - 20 * l2 * trans])
+        off = (y - p[:, 1]) * weight
+        adam.step([sum(x[run].T @ off[run] for run in runs) - l2 * emission / 4, (seen - expected) * (len(examples) / len(x)) - 20 * l2 * trans])
     model = QualityModel(emission.astype(np.float32), trans, (1.0, 0.0))
     z = _logit(_document_means(model._good(x, first), size, first))
     a, b = 1.0, 0.0
@@ -180,7 +197,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 def _learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int):
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~samples.held_out(F.col("id"), 4, 2)).groupBy("id").agg(F.min("label").alias("label"))
-    return docs.sparkSession.sparkContext.broadcast(fit(samples.texts_of(texts, samples.sample_ids(samples.short_enough(known, texts, MAX_CHARS), per_class), MAX_CHARS)))
+    model = fit(samples.texts_of(texts, samples.sample_ids(samples.short_enough(known, texts, MAX_CHARS), per_class), MAX_CHARS))
+    spans.release_memory()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def _scores(model: QualityModel, text: pa.Array) -> np.ndarray:

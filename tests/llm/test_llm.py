@@ -476,3 +476,27 @@ def test_samples_are_drawn_from_short_enough_texts(spark, score):
         assert len({r.score for r in score(frame, labels, per_class=2).collect()}) > 1
     with pytest.raises(ValueError):
         score(frame.where("doc_id % 40 <> 0"), labels)
+
+
+def test_quality_fit_holds_features_not_work_arrays_of_its_whole_sample():
+    """The driver's memory while it fits: a few times a run of texts and the lines' features, whatever the sample's size."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    examples = [("\n".join(" ".join(rng.choice(["plain", "WORDS", "12", "#|", "end."]) for _ in range(60)) for _ in range(60)), k % 2) for k in range(400)]
+    quality_crf.fit(examples[:2])  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        quality_crf.fit(examples)
+        assert tracemalloc.get_traced_memory()[1] < 15 * sum(len(t) for t, _ in examples)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_quality_features_by_runs_are_those_of_all_texts(limit):
+    texts = ["one two two\n\none two two\nEnd.", "", None, "\n", "é ü | # $ 12\nfoot", "the same\nthe same", "no end"]
+    data, at = spans.text_buffers(pa.array(texts))
+    for ours, whole in zip(quality_crf.sample_features(texts, limit), quality_crf.line_features(data, at), strict=True):
+        assert ours.dtype == whole.dtype and np.array_equal(ours, whole)
+    assert quality_crf.sample_features([], limit)[2].tolist() == [0]
