@@ -1,6 +1,7 @@
 """Sinks, manifests, maskers, parsers, taint, catalogue, history, settings and entry points on small inputs."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -259,6 +260,53 @@ def test_clone_runs(spark):
     assert [tuple(r) for r in clones.equal_files(files).collect()] == [("c", "b")]
 
 
+def _runs_by_hand(rows, k):
+    one, first, met = {}, {}, {}
+    for path, words in sorted((p, tuple((t or "").lower().split())) for p, t in rows):
+        one.setdefault(words, path)
+    w = [(path, i, words[i : i + k]) for words, path in one.items() for i in range(len(words) - k + 1)]
+    for path, i, h in w:
+        first[h] = min(first.get(h, (path, i)), (path, i))
+    for path, i, h in w:
+        a, at = first[h]
+        if path != a or i >= at + k:
+            met.setdefault((a, path, i - at), set()).add(i)
+    out = []
+    for (a, path, d), places in met.items():
+        runs = []
+        for i in sorted(places):
+            if runs and i - runs[-1][1] <= k:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        out += [(a, lo - d, path, lo, hi - lo + k) for lo, hi in runs]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_clone_runs_of_odd_texts(spark, k):
+    r = random.Random(k)
+    rows = [(f"r{i}", " ".join(r.choices("abC" if i % 2 else "abcdefghijkl", k=r.randrange(60)))) for i in range(30)]
+    rows += [("same", "a " * 70), ("s2", "A " * 70), ("long", "b " * 90), ("null", None), ("empty", ""), ("r1", rows[3][1] + " " + rows[5][1]), ("r3", rows[3][1])]
+    files = spark.createDataFrame(rows, "path string, text string")
+    assert sorted(tuple(x) for x in clones.clone_runs(files, k).collect()) == _runs_by_hand(rows, k)
+
+
+def test_clone_runs_moves_no_rows_for_each_window(spark):
+    def moved():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    r = random.Random(1)
+    words = [[f"w{r.randrange(9999)}" for _ in range(1500)] for _ in range(20)]
+    words[1][100:300] = words[0][50:250]
+    before = moved()
+    got = clones.clone_runs(spark.createDataFrame([(f"f{i:02}", " ".join(w)) for i, w in enumerate(words)], "path string, text string"), 40).collect()
+    assert [tuple(x) for x in got] == [("f00", 50, "f01", 100, 200)]
+    assert moved() - before < 20 * 1461 / 4
+
+
 def test_corpus_scores(spark):
     want = spark.createDataFrame([("c1", "r", False), ("c2", "r", True), ("c3", "r", False)], "case string, rule_id string, known_gap boolean")
     found = spark.createDataFrame([("c1", "r"), ("c9", "r")], "case string, rule_id string")
