@@ -217,9 +217,14 @@ def stale_files(spark: SparkSession, sf: str) -> DataFrame:
 d AS (SELECT source, CASE WHEN sum(snake) >= sum(capital) THEN 'snake' ELSE 'capital' END AS style FROM n GROUP BY source HAVING sum(snake) + sum(capital) >= 3)
 SELECT path, style, CAST(CASE style WHEN 'snake' THEN capital ELSE snake END AS INTEGER) AS divergent FROM n JOIN d USING (source) WHERE CASE style WHEN 'snake' THEN capital ELSE snake END >= 2 AND CASE style WHEN 'snake' THEN capital > snake ELSE snake > capital END""")
 def naming_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose names follow another convention than most of their source's do."""
-    n = lambda p: F.regexp_count("text", F.lit(p))
-    counts = files_from_documents(spark, sf).select("source", "path", n("(^|[^A-Za-z0-9_])[a-z]+_[a-z_]+").alias("snake"), n("(^|[^A-Za-z0-9_])[A-Z][a-z]+").alias("capital"))
+    """Files whose names follow another convention than most of their source's do.
+
+    Both patterns begin with their rarest character and look back from it; the one for snake case reads the text backwards, from the first underscore of a
+    name. Texts are read once: the sums and the join take the counts from one shuffle.
+    """
+    n = lambda text, p: F.regexp_count(text, F.lit(p))
+    snake, capital = n(F.reverse("text"), "_(?<=[a-z_]_)[a-z]++(?![A-Za-z0-9_])"), n("text", "[A-Z](?<![A-Za-z0-9_][A-Z])[a-z]")
+    counts = files_from_documents(spark, sf).select("source", "path", snake.alias("snake"), capital.alias("capital")).repartition("path")
     whole = counts.groupBy("source").agg(F.sum("snake").alias("s"), F.sum("capital").alias("c")).where("s + c >= 3").select("source", F.when(F.col("s") >= F.col("c"), "snake").otherwise("capital").alias("style"))
     joined = counts.join(whole, "source")
     divergent, matching = (F.when(F.col("style") == a, F.col("capital")).otherwise(F.col("snake")) for a in ("snake", "capital"))

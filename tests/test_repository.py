@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import subprocess
 
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from lodestone import api, config
 from lodestone.operators import catalogue, clones, graph, rulepacks, scores, secrets
 from lodestone.parsers import mask, taint, units
+from lodestone.plans import extended
 from lodestone.sinks import history as store
 from lodestone.sinks import reports
 from lodestone.sources import manifests, references, repository, text
@@ -292,12 +294,14 @@ def test_clone_runs_of_odd_texts(spark, k):
     assert sorted(tuple(x) for x in clones.clone_runs(files, k).collect()) == _runs_by_hand(rows, k)
 
 
-def test_clone_runs_moves_no_rows_for_each_window(spark):
-    def moved():
-        sc = spark.sparkContext
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+def _stages(spark, figure):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(getattr(stages.apply(i), figure)() for i in range(stages.size()))
+
 
+def test_clone_runs_moves_no_rows_for_each_window(spark):
+    moved = lambda: _stages(spark, "shuffleWriteRecords")
     r = random.Random(1)
     words = [[f"w{r.randrange(9999)}" for _ in range(1500)] for _ in range(20)]
     words[1][100:300] = words[0][50:250]
@@ -307,6 +311,27 @@ def test_clone_runs_moves_no_rows_for_each_window(spark):
     assert moved() - before < 20 * 1461 / 4
 
 
+def test_naming_drift_of_odd_texts_reads_them_once(spark, tmp_path):
+    r = random.Random(2)
+    odd = ["", "a_b", "a_B", "_a_b", "a__", "a_", "Ab", "AB", "ÉAb éa_b", "😀a_b😀Ab", "a_b_c-d_e", "1a_b a1_b", "Ab_Cd Ab.Cd", "\na_b\nAb", None]
+    texts = odd + ["".join(r.choices("aabbAB__1 -é\n", k=r.randrange(60))) for _ in range(385)]
+    rows = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(texts)] + [(400 + i, t * 9, "en", f"s{i}") for i, t in enumerate(["a_b ", "Ab ", "a_b ", "Ab "])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {i: [len(re.findall(p, t or "")) for p in ("(?:^|[^A-Za-z0-9_])[a-z]+_[a-z_]+", "(?:^|[^A-Za-z0-9_])[A-Z][a-z]+")] for i, t, *_ in rows}
+    want = set()
+    for s in {x[3] for x in rows}:
+        own = [x[0] for x in rows if x[3] == s]
+        snake, capital = (sum(counts[i][j] for i in own) for j in (0, 1))
+        style = "snake" if snake >= capital else "capital"
+        for i in own:
+            matching, divergent = counts[i] if style == "snake" else counts[i][::-1]
+            if divergent >= 2 and divergent > matching:
+                want.add((f"en/{s}/{i}", style, divergent))
+    before = _stages(spark, "inputRecords")
+    assert {tuple(x) for x in extended.naming_drift(spark, str(tmp_path)).collect()} == want and {x[1] for x in want} == {"snake", "capital"}
+    assert _stages(spark, "inputRecords") - before == len(rows)
+
+
 def test_corpus_scores(spark):
     want = spark.createDataFrame([("c1", "r", False), ("c2", "r", True), ("c3", "r", False)], "case string, rule_id string, known_gap boolean")
     found = spark.createDataFrame([("c1", "r"), ("c9", "r")], "case string, rule_id string")
